@@ -1,0 +1,37 @@
+"""Replay of a stored table as a stream with fixed micro-batches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evenhand.sources.items import read_items
+from evenhand.storage import new_path
+from evenhand.streaming.sketches import PrefixRun, stream_sketches
+
+
+def replay_prefix(table: DataFrame, batch: str, hashes, w: int, t: int, prime: int) -> PrefixRun:
+    """Feed ``table`` to :func:`stream_sketches`, one value of the column ``batch`` after the other.
+
+    The table ``(item, <batch>)`` is split by batch in one job. Then the files of
+    each batch are added to the stream's folder and the query runs once over what
+    is new, so micro-batches are exactly the values of ``batch``, in order and of
+    any size, and the query is restarted from its checkpoint each time.
+    """
+    spark = table.sparkSession
+    staged, folder, out_dir, checkpoint = (
+        new_path(spark, f"replay-{name}") for name in ("staged", "source", "tables", "checkpoint")
+    )
+    # Even-sized files, also where one batch holds a large part of the rows.
+    split = table.withColumn("_batch", F.col(batch).cast("string")).hint("rebalance", "_batch")
+    split.write.partitionBy("_batch").parquet(staged)
+    found = spark.read.parquet(staged).groupBy("_batch").agg(F.min(batch).alias("at")).orderBy("at").collect()
+    run = PrefixRun(spark, out_dir, t)
+    for row in found:
+        files = spark.read.schema(table.schema).parquet(f"{staged}/_batch={row['_batch']}")
+        files.select("item").write.mode("append").parquet(folder)
+        items = read_items(spark, "parquet", {"path": folder}, column="item", schema="item bigint")
+        run = stream_sketches(items, hashes, w, t, out_dir, checkpoint, prime, trigger={"availableNow": True})
+        if run.wait():
+            break
+    return run
