@@ -35,24 +35,31 @@ def check_prime(prime: int) -> int:
     return prime
 
 
-def _residue(a, b, x: Column | str, prime: int) -> Column:
-    x = F.col(x) if isinstance(x, str) else x
-    a = a if isinstance(a, Column) else F.lit(a)
-    b = b if isinstance(b, Column) else F.lit(b)
-    p = F.lit(check_prime(prime)).cast("bigint")
-    return F.pmod(a.cast("bigint") * F.pmod(x.cast("bigint"), p) + b, p)
+def residue_sql(a, b, x: str, prime: int) -> str:
+    """SQL text of ``(a*x + b) mod prime``. The item is reduced first, so no item overflows or gives a negative value."""
+    return f"pmod({a}L * pmod({x}, {check_prime(prime)}L) + {b}L, {prime}L)"
 
 
-def hash_bucket(a, b, c: int, x: Column | str, prime: int = DEFAULT_PRIME) -> Column:
-    """Bucket 0..c-1 of ``x``; the item is reduced first, so no item overflows or gives a negative bucket."""
+def bucket_sql(a, b, c: int, x: str, prime: int) -> str:
+    """SQL text of the bucket 0..c-1 of ``x`` as a bigint."""
     if c < 1:
         raise ValueError("there must be at least one bucket")
-    return (_residue(a, b, x, prime) % F.lit(c).cast("bigint")).cast("int")
+    return f"({residue_sql(a, b, x, prime)} % {c}L)"
 
 
-def hash_sign(a, b, x: Column | str, prime: int = DEFAULT_PRIME) -> Column:
-    """+1 for an even residue, -1 for an odd one."""
-    return F.when(_residue(a, b, x, prime) % 2 == 0, 1).otherwise(-1)
+def sign_sql(a, b, x: str, prime: int) -> str:
+    """SQL text of +1 for an even residue, -1 for an odd one."""
+    return f"if({residue_sql(a, b, x, prime)} % 2 = 0, 1, -1)"
+
+
+def hash_bucket(a: int, b: int, c: int, x: str, prime: int = DEFAULT_PRIME) -> Column:
+    """Bucket 0..c-1 of the bigint column named ``x``."""
+    return F.expr(f"cast({bucket_sql(a, b, c, x, prime)} as int)")
+
+
+def hash_sign(a: int, b: int, x: str, prime: int = DEFAULT_PRIME) -> Column:
+    """+1 or -1 for the bigint column named ``x``."""
+    return F.expr(sign_sql(a, b, x, prime))
 
 
 def draw_rows(d: int, prime: int, seed: int) -> list[HashRow]:

@@ -63,8 +63,11 @@ def with_nearest(spread: DataFrame, c: np.ndarray, keep: Sequence[str]) -> DataF
     smallest = f"least({', '.join(names)})" if k > 1 else names[0]
     with_distances = spread.selectExpr(*_quoted(keep), *distances)
     with_smallest = with_distances.selectExpr(*_quoted(keep), *names, f"{smallest} as dist2")
-    cases = " ".join(f"when {name} = dist2 then {i}" for i, name in enumerate(names))
-    return with_smallest.selectExpr(*_quoted(keep), f"case {cases} end as cluster", "dist2")
+    cases = " ".join(f"when {name} = dist2 then {i}" for i, name in enumerate(names[:-1]))
+    cluster = f"case {cases} else {k - 1} end" if k > 1 else "0"
+    # The generator is a fence: a filter or join on the cluster is not pushed below it,
+    # where it would repeat every distance and outgrow the code generator.
+    return with_smallest.selectExpr(*_quoted(keep), f"inline(array(struct({cluster} as cluster, dist2)))")
 
 
 def _quoted(names: Sequence[str]) -> list[str]:

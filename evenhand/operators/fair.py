@@ -28,10 +28,16 @@ GAMMA_STEPS = 10
 
 
 @contextmanager
-def cached(points: DataFrame, *columns: str) -> Iterator[DataFrame]:
-    """The typed columns, kept in memory and on disk for several passes unless the caller already keeps the points."""
+def cached(points: DataFrame, *columns: str, num_partitions: int | None = None) -> Iterator[DataFrame]:
+    """The typed columns, kept in memory and on disk for several passes.
+
+    Points that the caller already keeps are used as they are, unless they are
+    to be spread over ``num_partitions`` partitions.
+    """
     chosen = points.select(*columns)
-    if points.storageLevel.useMemory or points.storageLevel.useDisk:
+    if num_partitions is not None:
+        chosen = chosen.repartition(num_partitions)
+    elif points.storageLevel.useMemory or points.storageLevel.useDisk:
         yield chosen
         return
     chosen.persist(StorageLevel.MEMORY_AND_DISK)
@@ -80,10 +86,10 @@ def mean_gap(points: DataFrame, centers) -> DataFrame:
     return means.select("cluster", F.coalesce(distance("mean_a", "mean_b"), F.lit(0.0)).alias("ell"))
 
 
-def lloyd(points: DataFrame, init_centers, m: int) -> DataFrame:
+def lloyd(points: DataFrame, init_centers, m: int, num_partitions: int | None = None) -> DataFrame:
     """``(cluster, c)`` after ``m`` standard Lloyd rounds; a centre without points stays where it is."""
     c = center_matrix(init_centers)
-    with cached(points, "x") as kept:
+    with cached(points, "x", num_partitions=num_partitions) as kept:
         for _ in range(m):
             rows = cluster_moments(kept, c, grouped=False).select("cluster", "mean").collect()
             c = c.copy()
@@ -197,6 +203,7 @@ def fair_lloyd(
     init_centers=None,
     other: str = "error",
     compat: bool = False,
+    num_partitions: int | None = None,
 ) -> DataFrame:
     """``(cluster, c)`` after exactly ``m`` fair rounds on points ``(x, g)`` of the groups A and B.
 
@@ -208,7 +215,7 @@ def fair_lloyd(
         raise ValueError("other must be 'error' or 'as_b'")
     if init_centers is None and (k is None or k < 1):
         raise ValueError("either init_centers or k >= 1 is needed")
-    with cached(points, "x", "g") as kept:
+    with cached(points, "x", "g", num_partitions=num_partitions) as kept:
         c = center_matrix(initial_centers(kept, k, seed) if init_centers is None else init_centers)
         for _ in range(m):
             c = fair_step(kept, c, other, compat)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The table is cut into this many ranges; only their totals meet in one task.
-RANGES = 512
+RANGES = 128
 
 
 def with_prior_total(df: DataFrame, order: str, value: str, name: str = "prior", ranges: int = RANGES) -> DataFrame:
@@ -19,14 +19,17 @@ def with_prior_total(df: DataFrame, order: str, value: str, name: str = "prior",
     """
     shares = [i / ranges for i in range(1, ranges)]
     cuts = df.agg(F.percentile_approx(order, shares, 10 * ranges).alias("cuts")).scalar()
-    range_id = F.size(F.filter(cuts, lambda cut: cut <= F.col(order)))
-    ranged = df.withColumn("_range", range_id)
-    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_total"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    # Never null, so that the join below adds no null filter on the source.
+    range_id = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col(order))), F.lit(0))
+    ranged = df.withColumn("_cuts", cuts).withColumn("_range", range_id).drop("_cuts")
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum(value).over(inside), F.lit(0))
-    joined = ranged.withColumn("_local", local).join(F.broadcast(offsets), "_range")
+    running = ranged.withColumn("_local", local)
+    # Taken from the last row of each range, so that both uses share one shuffle.
+    totals = running.groupBy("_range").agg(F.max_by(F.col("_local") + F.col(value), order).alias("_total"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    joined = running.join(F.broadcast(offsets), "_range")
     return joined.select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))
 
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.functions.hashing import DEFAULT_PRIME, HashRow, hash_bucket, hash_rows, hash_sign
+from evenhand.functions.hashing import DEFAULT_PRIME, HashRow, bucket_sql, hash_rows, sign_sql
 
 # Sketches of at most this many cells (about 64 MB as a hash table) are broadcast;
 # larger ones are joined by shuffle.
@@ -40,45 +40,49 @@ def approx_distinct(items: DataFrame, rsd: float = 0.02) -> DataFrame:
     return items.agg(F.approx_count_distinct("item", rsd).alias("n_distinct"))
 
 
-def _slots(row: HashRow, d: int, w: int, prime: int, first: int = 0) -> tuple[Column, Column, Column]:
-    """Cell numbers of an item in row ``d`` of the Count-Min and Count sketch, and its sign."""
-    base = F.lit((first + d) * w).cast("bigint")
-    cm = base + hash_bucket(row.cm_a, row.cm_b, w, "item", prime)
-    cs = base + hash_bucket(row.cs_a, row.cs_b, w, "item", prime)
-    return cm, cs, hash_sign(row.sg_a, row.sg_b, "item", prime)
+def _cm_slot(row: HashRow, d: int, w: int, prime: int) -> str:
+    """SQL text of the cell number of an item in Count-Min row ``d``; cells are numbered row by row."""
+    return f"{d * w}L + {bucket_sql(row.cm_a, row.cm_b, w, 'item', prime)}"
 
 
-def _build(counted: DataFrame, changes: list[tuple[Column, Column]], w: int) -> DataFrame:
-    entries = F.array(*[F.struct(slot.alias("slot"), change.alias("change")) for slot, change in changes])
-    cells = counted.select(F.inline(entries)).groupBy("slot").agg(F.sum("change").alias("v"))
-    return cells.select(
-        F.expr(f"cast(slot div {w} as int)").alias("d"), F.expr(f"cast(slot % {w} as int)").alias("col"), "v"
-    )
+def _cs_slot(row: HashRow, d: int, w: int, prime: int) -> str:
+    return f"{d * w}L + {bucket_sql(row.cs_a, row.cs_b, w, 'item', prime)}"
+
+
+def _cs_sign(row: HashRow, prime: int) -> str:
+    return sign_sql(row.sg_a, row.sg_b, "item", prime)
+
+
+def _entries(pairs: list[tuple[str, str]], name: str) -> str:
+    """SQL text of a generator of ``(slot, <name>)`` rows."""
+    structs = ", ".join(f"struct({slot} as slot, {value} as {name})" for slot, value in pairs)
+    return f"inline(array({structs}))"
 
 
 def _counted(source: DataFrame) -> DataFrame:
     """A histogram as it is, or plain items with a count of one each."""
     if "freq" in source.columns:
         return source.select("item", "freq")
-    return source.select("item", F.lit(1).cast("bigint").alias("freq"))
+    return source.selectExpr("item", "1L as freq")
+
+
+def _build(source: DataFrame, changes: list[tuple[str, str]], w: int) -> DataFrame:
+    cells = _counted(source).selectExpr(_entries(changes, "change"))
+    totals = cells.groupBy("slot").agg(F.sum("change").alias("v"))
+    return totals.selectExpr(f"cast(slot div {w} as int) as d", f"cast(slot % {w} as int) as col", "v")
 
 
 def cms_build(source: DataFrame, hashes, w: int, prime: int = DEFAULT_PRIME) -> DataFrame:
     """Count-Min sketch ``(d, col, v)`` of a histogram ``(item, freq)`` or of plain items ``(item)``."""
-    changes = []
-    for d, row in enumerate(hash_rows(hashes)):
-        cm, _, _ = _slots(row, d, w, prime)
-        changes.append((cm, F.col("freq")))
-    return _build(_counted(source), changes, w)
+    rows = hash_rows(hashes)
+    return _build(source, [(_cm_slot(row, d, w, prime), "freq") for d, row in enumerate(rows)], w)
 
 
 def cs_build(source: DataFrame, hashes, w: int, prime: int = DEFAULT_PRIME) -> DataFrame:
     """Count sketch ``(d, col, v)`` of a histogram ``(item, freq)`` or of plain items ``(item)``."""
-    changes = []
-    for d, row in enumerate(hash_rows(hashes)):
-        _, cs, sign = _slots(row, d, w, prime)
-        changes.append((cs, sign * F.col("freq")))
-    return _build(_counted(source), changes, w)
+    rows = hash_rows(hashes)
+    changes = [(_cs_slot(row, d, w, prime), f"{_cs_sign(row, prime)} * freq") for d, row in enumerate(rows)]
+    return _build(source, changes, w)
 
 
 def merge_sketches(*sketches: DataFrame) -> DataFrame:
@@ -88,18 +92,12 @@ def merge_sketches(*sketches: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, sketches).groupBy("d", "col").agg(F.sum("v").alias("v"))
 
 
-def _median(values: Column, n: int) -> Column:
-    ordered = F.sort_array(values)
+def _median_sql(values: str, n: int) -> str:
+    """SQL text of the median of ``n`` collected values; the middle pair is halved toward zero."""
+    ordered = f"sort_array({values})"
     if n % 2:
-        return F.element_at(ordered, n // 2 + 1)
-    pair = F.element_at(ordered, n // 2) + F.element_at(ordered, n // 2 + 1)
-    # Integer division toward zero.
-    return F.call_function("div", pair, F.lit(2).cast("bigint"))
-
-
-def _cells(sketch: DataFrame, w: int, first: int) -> DataFrame:
-    slot = (F.col("d").cast("bigint") + first) * w + F.col("col")
-    return sketch.select(slot.alias("slot"), "v")
+        return f"element_at({ordered}, {n // 2 + 1})"
+    return f"(element_at({ordered}, {n // 2}) + element_at({ordered}, {n // 2 + 1})) div 2"
 
 
 def sketch_estimates(
@@ -117,32 +115,27 @@ def sketch_estimates(
     (as a histogram is), no row moves.
     """
     rows = hash_rows(hashes)
-    n = len(rows)
+    cells_per_sketch = len(rows) * w
+    # Count-Min cells come first, those of the Count sketch after them.
     probes, tables, results = [], [], []
-    for d, row in enumerate(rows):
-        cm_slot, _, _ = _slots(row, d, w, prime)
-        _, cs_slot, sign = _slots(row, d, w, prime, first=n)
-        if cms is not None:
-            probes.append((cm_slot, F.lit(1)))
-        if cs is not None:
-            probes.append((cs_slot, sign))
-    value = F.coalesce("v", F.lit(0).cast("bigint"))
-    is_cm = F.col("slot") < n * w
     if cms is not None:
-        tables.append(_cells(cms, w, 0))
-        results.append(F.min(F.when(is_cm, value)).alias("est_cm"))
+        probes += [(_cm_slot(row, d, w, prime), "1") for d, row in enumerate(rows)]
+        tables.append(cms.selectExpr(f"d * {w}L + col as slot", "v"))
+        results.append(F.expr(f"min(if(slot < {cells_per_sketch}L, coalesce(v, 0L), null)) as est_cm"))
     if cs is not None:
-        tables.append(_cells(cs, w, n))
-        signed = F.collect_list(F.when(~is_cm, F.col("sign") * value))
-        results.append(_median(signed, n).alias("est_cs"))
+        probes += [
+            (f"{cells_per_sketch}L + {_cs_slot(row, d, w, prime)}", _cs_sign(row, prime)) for d, row in enumerate(rows)
+        ]
+        tables.append(cs.selectExpr(f"{cells_per_sketch}L + d * {w}L + col as slot", "v"))
+        signed = f"collect_list(if(slot < {cells_per_sketch}L, null, sign * coalesce(v, 0L)))"
+        results.append(F.expr(f"{_median_sql(signed, len(rows))} as est_cs"))
     if not tables:
         raise ValueError("at least one sketch is needed")
     cells = reduce(DataFrame.unionByName, tables)
-    if len(tables) * n * w <= BROADCAST_CELLS:
+    if len(tables) * cells_per_sketch <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
     others = [name for name in items.columns if name != "item"]
-    entries = F.array(*[F.struct(slot.alias("slot"), sign.alias("sign")) for slot, sign in probes])
-    probed = items.select("item", *others, F.inline(entries)).join(cells, "slot", "left")
+    probed = items.selectExpr("item", *others, _entries(probes, "sign")).join(cells, "slot", "left")
     return probed.groupBy("item", *others).agg(*results)
 
 

@@ -41,7 +41,9 @@ def evaluate_clustering(points: DataFrame, centers) -> Evaluation:
     return Evaluation(means, with_every_center(counts, c, points.sparkSession, ["n_a", "n_b"]))
 
 
-def compare_fairness(points: DataFrame, k: int, m: int, seed: int = 0) -> DataFrame:
+def compare_fairness(
+    points: DataFrame, k: int, m: int, seed: int = 0, num_partitions: int | None = None
+) -> DataFrame:
     """One row: fair objective under standard and fair centres, and four elapsed times in ms.
 
     The points are loaded before the first timer starts, so neither method
@@ -54,7 +56,7 @@ def compare_fairness(points: DataFrame, k: int, m: int, seed: int = 0) -> DataFr
         result = action()
         return result, int((time.perf_counter() - start) * 1000)
 
-    with cached(points, "x", "g") as kept:
+    with cached(points, "x", "g", num_partitions=num_partitions) as kept:
         kept.count()
         standard, t_standard = timed(lambda: center_matrix(standard_centers(kept, k, m, seed)))
         fair, t_fair = timed(lambda: center_matrix(fair_lloyd(kept, k, m, seed)))

@@ -72,7 +72,9 @@ def _parsed(lines: DataFrame, dim: int | None) -> DataFrame:
         .when(~F.coalesce(finite, F.lit(False)), "coordinate is not a finite number")
     )
     typed = fields.select("value", x.alias("x"), F.element_at("f", -1).alias("g"), F.size("f").alias("n_fields"))
-    return typed.select("value", "x", "g", reason.alias("reason"))
+    # The generator is a fence: a filter on its output is not pushed into the parsing,
+    # where each mention of a column would split and cast the line again.
+    return typed.select(F.inline(F.array(F.struct("value", "x", "g", reason.alias("reason")))))
 
 
 def read_points(

@@ -76,6 +76,11 @@ def query(key: str) -> Callable[[Query], Query]:
     return register
 
 
+def cores(spark: SparkSession) -> int:
+    """Partitions for points that are read many times: the given files have a single row group."""
+    return spark.sparkContext.defaultParallelism
+
+
 def rounded(name: str, digits: int = 6, source: Column | str | None = None) -> Column:
     return F.round(name if source is None else source, digits).alias(name)
 
@@ -248,14 +253,16 @@ def mean_gap_li(spark, sf):
 
 def _lloyd(rounds: int, points, centers) -> Query:
     def run(spark, sf):
-        return exploded(lloyd(points(spark, sf), centers, rounds), "c", "cluster")
+        return exploded(lloyd(points(spark, sf), centers, rounds, cores(spark)), "c", "cluster")
 
     return run
 
 
 def _fair(rounds: int, points, centers, other: str = "error") -> Query:
     def run(spark, sf):
-        found = fair_lloyd(points(spark, sf), m=rounds, init_centers=centers, other=other)
+        found = fair_lloyd(
+            points(spark, sf), m=rounds, init_centers=centers, other=other, num_partitions=cores(spark)
+        )
         return exploded(found, "c", "cluster")
 
     return run
@@ -269,7 +276,7 @@ for _rounds in (1, 3):
 
 @query("fair_lloyd_auto")
 def fair_lloyd_auto(spark, sf):
-    return exploded(fair_lloyd(fx.points_li(spark, sf), 3, 5, SEED), "c", "cluster")
+    return exploded(fair_lloyd(fx.points_li(spark, sf), 3, 5, SEED, num_partitions=cores(spark)), "c", "cluster")
 
 
 @query("fair_lloyd_emb")
@@ -280,17 +287,19 @@ def fair_lloyd_emb(spark, sf):
 
 @query("kmeans_standard")
 def kmeans_standard(spark, sf):
-    return exploded(standard_centers(fx.points_li(spark, sf), 3, 10, SEED), "c", "cluster")
+    points = fx.points_li(spark, sf).repartition(cores(spark))
+    return exploded(standard_centers(points, 3, 10, SEED), "c", "cluster")
 
 
 @query("kmeans_init")
 def kmeans_init(spark, sf):
-    return exploded(initial_centers(fx.points_li(spark, sf), 3, SEED), "c", "cluster")
+    points = fx.points_li(spark, sf).repartition(cores(spark))
+    return exploded(initial_centers(points, 3, SEED), "c", "cluster")
 
 
 @query("compare_fairness")
 def compare_fairness_li(spark, sf):
-    return compare_fairness(fx.points_li(spark, sf), 3, 5, SEED)
+    return compare_fairness(fx.points_li(spark, sf), 3, 5, SEED, cores(spark))
 
 
 # Items: parsing, hashing, sketches
