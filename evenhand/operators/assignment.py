@@ -19,14 +19,15 @@ from evenhand.functions import kernels
 from evenhand.functions.centers import center_matrix
 from evenhand.functions.distance import sq_distance_sql
 
-# Largest K * d that is unrolled; beyond it the generated method is too long for the JIT compiler.
+# Largest K * d and d that are unrolled; beyond them the generated method is too long for the JIT compiler.
 UNROLLED_CELLS = 64
+UNROLLED_DIMENSION = 16
 # Largest centre block that is broadcast to one Arrow pass.
 BLOCK_BYTES = 64 << 20
 
 
 def is_unrolled(c: np.ndarray) -> bool:
-    return c.size <= UNROLLED_CELLS
+    return c.size <= UNROLLED_CELLS and c.shape[1] <= UNROLLED_DIMENSION
 
 
 def assign(points: DataFrame, centers, keep: Sequence[str] | None = None) -> DataFrame:
