@@ -132,6 +132,7 @@ def stream_sketches(
     rows = hash_rows(hashes)
     spark = items.sparkSession
     run = PrefixRun(spark, out_dir, t)
+    # Items per batch; earlier batches are folded into one entry as the stream goes on.
     sizes = {row["batch_id"]: row["n"] for row in run.progress().collect()}
 
     def take(batch: DataFrame, batch_id: int) -> None:
@@ -146,8 +147,10 @@ def stream_sketches(
         write_batch(cs_build(hist, rows, w, prime), f"{out_dir}/cs", batch_id)
         size = hist.agg(F.coalesce(F.sum("freq"), F.lit(0).cast("bigint")).alias("n"))
         write_batch(size, f"{out_dir}/progress", batch_id)
-        sizes[batch_id] = session.read.schema(PROGRESS_SCHEMA).parquet(f"{out_dir}/progress/batch_id={batch_id}").head()["n"]
-        if prior + sizes[batch_id] >= t:
+        n = session.read.schema(PROGRESS_SCHEMA).parquet(f"{out_dir}/progress/batch_id={batch_id}").head()["n"]
+        sizes.clear()
+        sizes.update({batch_id - 1: prior, batch_id: n})
+        if prior + n >= t:
             run.done.set()
 
     writer = items.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)

@@ -135,7 +135,7 @@ def test_broadcast_lookup_moves_no_row_of_a_histogram(spark):
     assert plan.count("Exchange hashpartitioning(item") == 1
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.dictionaries(st.integers(0, 10**9), st.integers(1, 1000), min_size=1, max_size=40))
 def test_sketch_properties(hist, counts):
     table, w = hist(counts), 11
@@ -179,7 +179,7 @@ def test_items_from_text(spark):
 
 
 @pytest.mark.parametrize("limit", [10_000, 0])
-@pytest.mark.parametrize("k", [1, 4, 10, 300, 301])
+@pytest.mark.parametrize("k", [1, 10, 300, 301])
 def test_phi_and_heavy_hitters_in_both_forms(hist, monkeypatch, k, limit):
     monkeypatch.setattr(heavy, "TOP_K_ROWS", limit)
     counts = counts_of(21, 300, 15)
@@ -197,7 +197,7 @@ def test_errors_and_listing(hist):
     table = hist(counts)
     cms, cs = cms_build(table, ROWS, w, 8191), cs_build(table, ROWS, w, 8191)
     est_cm, est_cs = cms_estimate(table, cms, ROWS, w, 8191), cs_estimate(table, cs, ROWS, w, 8191)
-    for k in (3, 10, 25, 81):
+    for k in (3, 25, 81):
         phi = sorted(counts.values(), reverse=True)[k - 1] if k <= len(counts) else None
         top = {x: n for x, n in counts.items() if phi is not None and n >= phi}
         shown = {x: expected[x] if n >= 2 else (0, 0) for x, n in top.items()}

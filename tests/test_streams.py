@@ -1,5 +1,6 @@
 """Streams give the same tables as a batch over the same rows, also after a replay or a restart."""
 
+import os
 from collections import Counter
 
 import pytest
@@ -24,8 +25,11 @@ def source(spark, tmp_path):
 
     def build(batches=BATCHES):
         for batch in batches:
-            name = f"{len(list(folder.iterdir())):03d}.txt"
-            (folder / name).write_text("".join(f"{x}\n" for x in batch))
+            number = len(list(folder.iterdir()))
+            path = folder / f"{number:03d}.txt"
+            path.write_text("".join(f"{x}\n" for x in batch))
+            # File streams read in order of modification time.
+            os.utime(path, (1_700_000_000 + number, 1_700_000_000 + number))
         return read_items(spark, "text", {"path": str(folder), "maxFilesPerTrigger": "1"})
 
     return build

@@ -162,6 +162,16 @@ add(
     "cluster_group_means",
     with_assigned(LI, fx.CENTERS_LI, f"{SIDES} " + unpivot("s", ["m0", "m1", "m2"], "cluster, g, n", 4)),
 )
+TEXT = "'(' || " + " || ',' || ".join(f"printf('%.4f', m{j})" for j in range(3)) + " || ')'"
+add(
+    "clustering_report_text",
+    with_assigned(
+        LI,
+        fx.CENTERS_LI,
+        f"{SIDES} select cluster, (sum(n) over (partition by cluster))::bigint as n, "
+        f"{TEXT} as center from s qualify g = max(g) over (partition by cluster)",
+    ),
+)
 FIXED = (
     "select round(coalesce(sum(spread) filter (g = 'A') / sum(n) filter (g = 'A'), 0), 6) as fixed_a, "
     "round(coalesce(sum(spread) filter (g = 'B') / sum(n_exact) filter (g = 'B'), 0), 6) as fixed_b from s"
@@ -202,6 +212,26 @@ def lloyd_sql(points: str, centers, rounds: int) -> str:
     return f"with {', '.join(ctes)} " + unpivot(f"c_{rounds}", [f"c{j}" for j in range(d)], "cluster", 4)
 
 
+OFFSET = "coalesce((1 - gamma) * beta * ell / nullif(gamma * alpha + (1 - gamma) * beta, 0), 0)"
+
+
+def gamma_steps(r: int) -> list[str]:
+    """Tables ``g_r_0`` to ``g_r_9``: the gamma of the ten evaluations on the clusters ``l_r``."""
+    ctes = [f"g_{r}_0 as (select 0.5::double as gamma, false as stop)"]
+    step = 0.25
+    for t in range(1, 10):
+        ctes += [
+            f"x_{r}_{t} as materialized (select max(fixed_a) + sum(alpha * x * x) as fa, "
+            f"max(fixed_b) + sum(beta * (ell - x) * (ell - x)) as fb "
+            f"from (select *, {OFFSET} as x from l_{r}, g_{r}_{t - 1}))",
+            f"g_{r}_{t} as materialized (select case when stop or fa = fb then gamma when fa > fb "
+            f"then gamma + {step!r}::double else gamma - {step!r}::double end as gamma, "
+            f"stop or fa = fb as stop from g_{r}_{t - 1}, x_{r}_{t})",
+        ]
+        step /= 2
+    return ctes
+
+
 def fair_lloyd_sql(points: str, centers, rounds: int) -> str:
     """Fair rounds as chained tables: moments, ten evaluations of gamma, new centres.
 
@@ -210,7 +240,6 @@ def fair_lloyd_sql(points: str, centers, rounds: int) -> str:
     """
     d = len(centers[0])
     ctes = [f"pts as ({points})", f"c_0 as ({center_rows(centers)})"]
-    offset = "coalesce((1 - gamma) * beta * ell / nullif(gamma * alpha + (1 - gamma) * beta, 0), 0)"
     for r in range(rounds):
         raw = ", ".join(
             f"avg(x{j}) filter (g = 'A') as a{j}, avg(x{j}) filter (g <> 'A') as b{j}" for j in range(d)
@@ -231,23 +260,12 @@ def fair_lloyd_sql(points: str, centers, rounds: int) -> str:
             "coalesce(sum(sa) over () / nullif(sum(na) over (), 0), 0) as fixed_a, "
             f"coalesce(sum(sb) over () / nullif(sum(nb_exact) over (), 0), 0) as fixed_b from m_{r})",
             f"l_{r} as materialized (select *, sqrt({gap}) as ell from f_{r})",
-            f"g_{r}_0 as (select 0.5::double as gamma, false as stop)",
         ]
-        step = 0.25
-        for t in range(1, 10):
-            ctes += [
-                f"x_{r}_{t} as materialized (select max(fixed_a) + sum(alpha * x * x) as fa, "
-                f"max(fixed_b) + sum(beta * (ell - x) * (ell - x)) as fb "
-                f"from (select *, {offset} as x from l_{r}, g_{r}_{t - 1}))",
-                f"g_{r}_{t} as materialized (select case when stop or fa = fb then gamma when fa > fb "
-                f"then gamma + {step!r}::double else gamma - {step!r}::double end as gamma, "
-                f"stop or fa = fb as stop from g_{r}_{t - 1}, x_{r}_{t})",
-            ]
-            step /= 2
+        ctes += gamma_steps(r)
         new = ", ".join(f"case when ell = 0 then a{j} else ((ell - x) * a{j} + x * b{j}) / ell end as n{j}" for j in range(d))
         kept = ", ".join(f"coalesce(n{j}, c{j}) as c{j}" for j in range(d))
         ctes += [
-            f"n_{r} as (select cluster, {new} from (select *, {offset} as x from l_{r}, g_{r}_9))",
+            f"n_{r} as (select cluster, {new} from (select *, {OFFSET} as x from l_{r}, g_{r}_9))",
             f"c_{r + 1} as materialized (select cluster::int as cluster, {kept} from c_{r} left join n_{r} using (cluster))",
         ]
     return f"with {', '.join(ctes)} " + unpivot(f"c_{rounds}", [f"c{j}" for j in range(d)], "cluster", 4)
@@ -259,6 +277,38 @@ for _rounds in (1, 3):
     add(f"fair_lloyd_three_{_rounds}", fair_lloyd_sql(THREE, fx.CENTERS_THREE, _rounds))
 
 
+def fair_lloyd_long_sql(rounds: int) -> str:
+    """Fair rounds on the embeddings, with one row per coordinate."""
+    ctes = [
+        "e as materialized (select vec_id, label, " + fx.EMB_GROUP + " as g, unnest(embedding)::double as v, "
+        "generate_subscripts(embedding, 1) - 1 as j from embeddings)",
+        "c_0 as materialized (select label as cluster, j, avg(v) as m from e group by all)",
+    ]
+    for r in range(rounds):
+        ctes += [
+            f"d_{r} as (select vec_id, cluster, sum((v - m) * (v - m)) as d from e join c_{r} using (j) group by all)",
+            f"a_{r} as materialized (select vec_id, arg_min(cluster, d) as cluster from d_{r} group by vec_id)",
+            f"m_{r} as materialized (select cluster, j, count(*) filter (g = 'A') as na, count(*) filter (g = 'B') as nb, "
+            "avg(v) filter (g = 'A') as a, avg(v) filter (g = 'B') as b, "
+            "var_pop(v) filter (g = 'A') as va, var_pop(v) filter (g = 'B') as vb "
+            f"from e join a_{r} using (vec_id) group by all)",
+            f"f_{r} as materialized (select cluster, max(na) as na, max(nb) as nb, "
+            "sqrt(sum((coalesce(a, b) - coalesce(b, a)) * (coalesce(a, b) - coalesce(b, a)))) as ell, "
+            f"coalesce(sum(na * va), 0) as sa, coalesce(sum(nb * vb), 0) as sb from m_{r} group by cluster)",
+            f"l_{r} as materialized (select cluster, ell, na / sum(na) over () as alpha, nb / sum(nb) over () as beta, "
+            f"sum(sa) over () / sum(na) over () as fixed_a, sum(sb) over () / sum(nb) over () as fixed_b from f_{r})",
+            *gamma_steps(r),
+            f"c_{r + 1} as materialized (select c_{r}.cluster, c_{r}.j, coalesce(case when ell = 0 then coalesce(a, b) "
+            f"else ((ell - x) * coalesce(a, b) + x * coalesce(b, a)) / ell end, c_{r}.m) as m "
+            f"from c_{r} left join m_{r} using (cluster, j) "
+            f"left join (select cluster, ell, {OFFSET} as x from l_{r}, g_{r}_9) using (cluster))",
+        ]
+    return f"with {', '.join(ctes)} select cluster::int as cluster, j::int as dim, round(m, 4) as v from c_{rounds}"
+
+
+add("fair_lloyd_emb", fair_lloyd_long_sql(3))
+
+
 # Items: parsing, hashing, sketches
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.functions.distance import sq_distance
+from evenhand.functions.formatting import vector_text
 from evenhand.functions.hashing import DEFAULT_PRIME, draw_rows, hash_bucket, hash_sign
 from evenhand.operators.assignment import assign
 from evenhand.operators.fair import (
@@ -208,6 +209,15 @@ def clustering_report_clusters(spark, sf):
     return exploded(clusters, "center", "cluster", "n_a", "n_b")
 
 
+@query("clustering_report_text")
+def clustering_report_text(spark, sf):
+    """The mean of group B in every cluster as text."""
+    points = fx.points_li(spark, sf)
+    found = cluster_group_means(points, fx.CENTERS_LI).groupBy("cluster")
+    means = found.agg(F.max_by("mean", "g").alias("c"), F.sum("n").alias("n"))
+    return means.select("cluster", "n", vector_text("c", 4).alias("center"))
+
+
 # Group statistics and clustering rounds
 
 
