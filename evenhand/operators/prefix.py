@@ -16,6 +16,7 @@ def with_prior_total(df: DataFrame, order: str, value: str, name: str = "prior",
     the running total of at most ``ranges + 1`` range totals is broadcast, and
     the rest is a window inside each range. The cuts only balance the work; any
     cuts give the same result. ``order`` is numeric, a date or a timestamp.
+    ``df`` is read twice, once for the cuts.
     """
     shares = [i / ranges for i in range(1, ranges)]
     cuts = df.agg(F.percentile_approx(order, shares, 10 * ranges).alias("cuts")).scalar()

@@ -5,14 +5,15 @@ from __future__ import annotations
 import time
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions.centers import center_matrix
 from evenhand.operators.assignment import assign
 from evenhand.operators.fair import cached, fair_lloyd
-from evenhand.operators.groups import fair_objective, mean_or_zero, with_every_center
+from evenhand.operators.groups import fair_objective, with_every_center
 from evenhand.operators.kmeans import standard_centers
+from evenhand.storage import materialize
 
 
 class Evaluation(NamedTuple):
@@ -20,25 +21,41 @@ class Evaluation(NamedTuple):
     clusters: DataFrame
 
 
-def evaluate_clustering(points: DataFrame, centers) -> Evaluation:
+def evaluate_clustering(points: DataFrame, centers, materialized: bool = False) -> Evaluation:
     """``summary (n, n_a, n_b, delta, phi)`` and ``clusters (cluster, center, n_a, n_b)``.
 
-    Counts and both objectives come from one pass over the assigned points.
+    Both are derived from one profile of at most K rows. With ``materialized``
+    the profile is computed at once and written to the shared folder, so the
+    points are read a single time however often the two tables are used.
     """
     c = center_matrix(centers)
-    assigned = assign(points, c, keep=["g"])
-    is_a, is_b = (F.col("g") == "A").eqNullSafe(True), F.col("g") == "B"
-    means = assigned.agg(
+    is_a, is_b = (F.col("g") == "A").eqNullSafe(True), (F.col("g") == "B").eqNullSafe(True)
+    profile = assign(points, c, keep=["g"]).groupBy("cluster").agg(
         F.count("*").alias("n"),
         F.count_if(is_a).alias("n_a"),
         F.count_if(is_b).alias("n_b"),
-        mean_or_zero(F.col("dist2")).alias("delta"),
-        F.greatest(
-            mean_or_zero(F.when(is_a, F.col("dist2"))), mean_or_zero(F.when(is_b, F.col("dist2")))
-        ).alias("phi"),
+        F.sum("dist2").alias("cost"),
+        F.sum(F.when(is_a, F.col("dist2"))).alias("cost_a"),
+        F.sum(F.when(is_b, F.col("dist2"))).alias("cost_b"),
     )
-    counts = assigned.groupBy("cluster").agg(F.count_if(is_a).alias("n_a"), F.count_if(~is_a).alias("n_b"))
-    return Evaluation(means, with_every_center(counts, c, points.sparkSession, ["n_a", "n_b"]))
+    if materialized:
+        profile = materialize(profile)
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0).cast("bigint"))
+
+    def mean(cost: str, n: str) -> Column:
+        return F.when(total(n) > 0, F.sum(cost) / total(n)).otherwise(0.0)
+
+    summary = profile.agg(
+        total("n").alias("n"),
+        total("n_a").alias("n_a"),
+        total("n_b").alias("n_b"),
+        mean("cost", "n").alias("delta"),
+        F.greatest(mean("cost_a", "n_a"), mean("cost_b", "n_b")).alias("phi"),
+    )
+    counts = profile.select("cluster", "n_a", (F.col("n") - F.col("n_a")).alias("n_b"))
+    return Evaluation(summary, with_every_center(counts, c, points.sparkSession, ["n_a", "n_b"]))
 
 
 def compare_fairness(

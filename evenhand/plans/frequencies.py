@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evenhand.functions.hashing import DEFAULT_PRIME
 from evenhand.operators.heavy import LISTING_MAX_K, heavy_hitters, with_errors
 from evenhand.operators.sketch import cms_build, cs_build, sketch_estimates, stream_summary
+from evenhand.storage import materialize
 
 
 class FrequencyReport(NamedTuple):
@@ -50,14 +51,19 @@ def heavy_hitter_report(
     listing_max_k: int = LISTING_MAX_K,
     cms: DataFrame | None = None,
     cs: DataFrame | None = None,
+    materialized: bool = False,
 ) -> FrequencyReport:
     """Summary and listing of the heavy hitters of a histogram.
 
     ``summary`` is one row ``(n_items, n_distinct, n_top, err_cm, err_cs)``;
     with fewer than k items ``n_top`` is 0 and the errors are null. ``listing``
     is ``(item, freq, est_cm)`` in item order, at most k rows, empty for k above
-    ``listing_max_k``.
+    ``listing_max_k``. With ``materialized`` the histogram is computed at once
+    and written to the shared folder, so the stream is read a single time for
+    both tables.
     """
+    if materialized:
+        hist = materialize(hist)
     top = top_estimates(hist, hashes, w, k, prime, min_freq, cms, cs)
     errors = with_errors(top).select(F.struct("n_top", "err_cm", "err_cs").alias("e")).scalar()
     summary = stream_summary(hist).withColumn("e", errors)

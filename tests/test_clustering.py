@@ -111,17 +111,21 @@ def test_objectives(points, spark):
     fair = fair_objective(table, c).head()
     assert (fair.delta_a, fair.delta_b) == pytest.approx((d2[g == "A"].mean(), d2[g == "B"].mean()))
     assert fair.phi == max(fair.delta_a, fair.delta_b)
-    report = evaluate_clustering(table, c)
-    row = report.summary.head()
-    assert (row.n, row.n_a, row.n_b) == (100, (g == "A").sum(), (g == "B").sum())
-    assert (row.delta, row.phi) == pytest.approx((d2.mean(), fair.phi))
-    assert sum(r.n_a + r.n_b for r in report.clusters.collect()) == 100
+    for materialized in (False, True):
+        report = evaluate_clustering(table, c, materialized)
+        row = report.summary.head()
+        assert (row.n, row.n_a, row.n_b) == (100, (g == "A").sum(), (g == "B").sum())
+        assert (row.delta, row.phi) == pytest.approx((d2.mean(), fair.phi))
+        assert sum(r.n_a + r.n_b for r in report.clusters.collect()) == 100
 
 
 def test_empty_inputs_have_objective_zero(points):
     none = points([])
     assert standard_objective(none, [[0.0]]).head().delta == 0.0
     assert fair_objective(none, [[0.0]]).head().phi == 0.0
+    report = evaluate_clustering(none, [[0.0], [1.0]])
+    assert tuple(report.summary.head()) == (0, 0, 0, 0.0, 0.0)
+    assert [(r.n_a, r.n_b) for r in report.clusters.collect()] == [(0, 0), (0, 0)]
     some = points([([1], "A")])
     assert standard_objective(some, []).head().delta == 0.0
     assert fair_objective(some, []).head().phi == 0.0
