@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import table
+from evenhand.llm.licenses import license_spans
 from evenhand.llm.packing import pack
+from evenhand.llm.pii import BASE, of_kind, personal_data, span_text
+from evenhand.llm.quality import quality
 from evenhand.llm.tokens import count_tokens, tokenizer_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +24,52 @@ def vocabulary() -> str:
     return tokenizer_json(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda span: span["base"] & (span["errors"] == 0))
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(spans["label"])), ",")
+    return found.withColumn("base_spans", base).select(
+        "doc_id",
+        "n_words",
+        F.size("base_spans").cast("bigint").alias("n_base"),
+        F.array_min("base_spans.first_word").alias("first_word"),
+        F.array_max("base_spans.first_word").alias("last_word"),
+        labels(F.col("base_spans")).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max("spans.fit"), F.lit(0.0)).alias("score"),
+        "spans",
+    )
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda span: span["kind"].isin([kind.name for kind in BASE]))
+    return found.select(
+        "row.doc_id",
+        *[of_kind(spans, kind.name).alias(f"n_{kind.name}") for kind in BASE],
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(spans).alias("spans"),
+        F.coalesce(F.array_max("spans.score"), F.lit(0.0)).alias("top_score"),
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents")).select(
+        "row.doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "n_lines",
+        "n_bad_lines",
+        "kept_chars",
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -31,6 +80,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_licenses": op1_licenses,
+    "op2_personal_data": op2_personal_data,
+    "op4_quality": op4_quality,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
 }
