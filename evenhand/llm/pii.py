@@ -41,7 +41,7 @@ def valid_iban(span: Column) -> Column:
     plain = F.replace(span, F.lit(" "), F.lit(""))
     turned = F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))
     rest = F.aggregate(
-        F.split(turned, "(?!^)"),
+        F.split(turned, ""),
         F.lit(0),
         lambda rest, c: F.when(c.between("0", "9"), rest * 10 + F.ascii(c) - 48).otherwise(rest * 100 + F.ascii(c) - 55)
         % 97,

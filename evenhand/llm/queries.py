@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import table
+from evenhand.llm.decontam import contaminated, contamination
 from evenhand.llm.licenses import license_spans
 from evenhand.llm.packing import pack
 from evenhand.llm.pii import BASE, of_kind, personal_data, span_text
@@ -54,6 +55,19 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        "n_near",
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(
         "row.doc_id",
@@ -82,6 +96,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_personal_data": op2_personal_data,
+    "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
