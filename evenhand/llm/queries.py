@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import table
+from evenhand.llm.common import crc_remainder, table
 from evenhand.llm.decontam import contaminated, contamination
 from evenhand.llm.licenses import license_spans
 from evenhand.llm.packing import pack
 from evenhand.llm.pii import BASE, of_kind, personal_data, span_text
 from evenhand.llm.quality import quality
 from evenhand.llm.tokens import count_tokens, tokenizer_json
+from evenhand.llm.toxicity import TOXIC, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +94,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_remainder(F.col("doc_id"), 3) == 1
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    return toxicity(table(spark, sf_dir, "documents"), labels).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"),
+        "offending",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_personal_data": op2_personal_data,
@@ -100,4 +113,5 @@ QUERIES: dict[str, Query] = {
     "op4_quality": op4_quality,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
 }
