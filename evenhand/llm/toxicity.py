@@ -20,10 +20,10 @@ from evenhand.llm.common import WORD_BYTES, Batches, texts
 
 #: The classifier is fitted on at most so many labelled rows of each label, drawn by a hash of doc_id.
 MOST_TOXIC, MOST_CLEAN = 3_000, 6_000
-#: A feature is a word, or the start of a longer word. It is kept if so many labelled documents have it
+#: A feature is a word, or one of two starts of a longer word. It is kept if so many labelled documents have it
 #: and the odds of a toxic label are so much higher (natural logarithm) where it occurs.
-START, LEAST_DOCUMENTS, LEAST_GAIN, MOST_FEATURES = 7, 2, 1.0, 50_000
-ROUNDS, RATE, SHRINK, FIRST_BIAS = 400, 0.05, 2e-4, -6.0
+STARTS, LEAST_DOCUMENTS, LEAST_GAIN, MOST_FEATURES = (6, 8), 3, 1.0, 50_000
+ROUNDS, RATE, SHRINK, FIRST_BIAS = 400, 0.05, 1e-5, -6.0
 #: Score from which a document counts as toxic, and least score of an offending sentence.
 TOXIC, OFFENDING = 0.7, 0.5
 CACHE_SIZE = 1_000_000
@@ -43,7 +43,7 @@ def sentences(text: bytes) -> list[list[bytes]]:
 
 
 def features(word: bytes) -> tuple[bytes, ...]:
-    return (word, word[:START] + b"*") if len(word) > START else (word,)
+    return (word, *(word[:n] + b"*" for n in STARTS if len(word) > n))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray]:
