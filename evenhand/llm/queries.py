@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenhand.llm.common import crc_remainder, table
 from evenhand.llm.decontam import contaminated, contamination
+from evenhand.llm.html import extract
 from evenhand.llm.licenses import license_spans
 from evenhand.llm.packing import pack
 from evenhand.llm.pii import BASE, of_kind, personal_data, span_text
@@ -85,6 +86,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op2_personal_data": op2_personal_data,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
+    "op6_main_text": op6_main_text,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
