@@ -11,6 +11,7 @@ from evenhand.llm.common import crc_remainder, table
 from evenhand.llm.decontam import contaminated, contamination
 from evenhand.llm.html import extract
 from evenhand.llm.licenses import license_spans
+from evenhand.llm.ngram_join import similar_groups
 from evenhand.llm.packing import pack
 from evenhand.llm.pii import BASE, of_kind, personal_data, span_text
 from evenhand.llm.quality import quality
@@ -111,6 +112,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_personal_data": op2_personal_data,
@@ -120,4 +125,5 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
+    "op10_ngram_join": op10_ngram_join,
 }
