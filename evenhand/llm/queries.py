@@ -11,6 +11,7 @@ from evenhand.llm.common import crc_remainder, table
 from evenhand.llm.decontam import contaminated, contamination
 from evenhand.llm.html import extract
 from evenhand.llm.licenses import license_spans
+from evenhand.llm.lm import likelihoods
 from evenhand.llm.ngram_join import similar_groups
 from evenhand.llm.packing import pack
 from evenhand.llm.pii import BASE, of_kind, personal_data, span_text
@@ -87,6 +88,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_remainder(F.col("doc_id"), 7) == 2
+    found = likelihoods(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), *[c for c in found.columns if c != "doc_id"])
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -121,6 +128,7 @@ QUERIES: dict[str, Query] = {
     "op2_personal_data": op2_personal_data,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
+    "op5_lm_score": op5_lm_score,
     "op6_main_text": op6_main_text,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
