@@ -25,8 +25,11 @@ BLOCK_CELLS = 1 << 19
 def coordinates(column: pa.Array, d: int) -> np.ndarray:
     """n x d matrix over an Arrow list column."""
     if column.null_count or len(column) and not pc.all(pc.equal(pc.list_value_length(column), d)).as_py():
-        raise ValueError(f"every point must have {d} coordinates")
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d)
+        raise ValueError(f"every point must have {d} coordinates, none of them null")
+    values = column.flatten()
+    if values.null_count:
+        raise ValueError(f"every point must have {d} coordinates, none of them null")
+    return values.to_numpy(zero_copy_only=False).reshape(len(column), d)
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

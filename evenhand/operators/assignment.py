@@ -46,10 +46,13 @@ def assign(points: DataFrame, centers, keep: Sequence[str] | None = None) -> Dat
 
 
 def with_coordinates(points: DataFrame, d: int, keep: Sequence[str]) -> DataFrame:
-    """Spread ``x`` into scalar columns ``_x0, _x1, ...``; a point of another dimension is an error."""
+    """Spread ``x`` into scalar columns ``_x0, _x1, ...``.
+
+    A point of another dimension, or with a null coordinate, is an error, as it is in the Arrow form.
+    """
     first = (
-        f"case when size(x) = {d} then x[0] "
-        f"else raise_error('every point must have {d} coordinates') end as _x0"
+        f"case when size(x) = {d} and not exists(x, v -> v is null) then x[0] "
+        f"else raise_error('every point must have {d} coordinates, none of them null') end as _x0"
     )
     others = [f"x[{j}] as _x{j}" for j in range(1, d)]
     return points.selectExpr(*_quoted(keep), first, *others)

@@ -24,14 +24,15 @@ LINE_FORMAT = "%.4f"
 def parse_points(lines: DataFrame, mode: str = "strict", dim: int | None = None):
     """Parse a column ``value`` of text lines into points ``(x, g)``.
 
-    Without ``dim`` the first well-formed line sets the dimension. ``strict``
-    fails on the first bad line. ``permissive`` returns ``(points, rejects)``
+    Without ``dim`` all well-formed lines set the dimension, which takes a pass over them: in
+    ``strict`` mode they must agree, in ``permissive`` mode the most frequent dimension counts.
+    ``strict`` fails on any bad line. ``permissive`` returns ``(points, rejects)``
     with rejects as ``(value, reason)``.
     """
     if mode not in ("strict", "permissive"):
         raise ValueError("mode must be 'strict' or 'permissive'")
     if dim is None:
-        dim = _first_dimension(lines, mode)
+        dim = _common_dimension(lines, mode)
     parsed = _parsed(lines, dim)
     if mode == "strict":
         message = F.concat(F.lit("bad point line ("), F.col("reason"), F.lit("): "), F.col("value"))
@@ -42,14 +43,25 @@ def parse_points(lines: DataFrame, mode: str = "strict", dim: int | None = None)
     return points, rejects
 
 
-def _first_dimension(lines: DataFrame, mode: str) -> int:
-    parsed = _parsed(lines, None)
-    first = (parsed if mode == "strict" else parsed.where(F.col("reason").isNull())).head()
-    if first is None:
-        return 1
-    if first["reason"] is not None:
-        raise ValueError(f"bad point line ({first['reason']}): {first['value']}")
-    return len(first["x"])
+def _common_dimension(lines: DataFrame, mode: str) -> int:
+    """The dimension of the well-formed lines, from one aggregate over all of them.
+
+    ``strict`` refuses lines of several dimensions. ``permissive`` takes the most frequent one, and the
+    smallest of equally frequent ones, whatever the order of lines and files.
+    """
+    sizes = (
+        _parsed(lines, None)
+        .where(F.col("reason").isNull())
+        .groupBy(F.size("x").alias("d"))
+        .agg(F.count("*").alias("n"))
+    )
+    if mode == "permissive":
+        most = sizes.agg(F.max(F.struct("n", -F.col("d"))).alias("m")).head()["m"]
+        return 1 if most is None else -most[1]
+    found = sizes.agg(F.min("d").alias("low"), F.max("d").alias("high")).head()
+    if found["low"] != found["high"]:
+        raise ValueError(f"lines have from {found['low']} to {found['high']} coordinates; set dim to reject the others")
+    return 1 if found["low"] is None else found["low"]
 
 
 def _parsed(lines: DataFrame, dim: int | None) -> DataFrame:

@@ -270,3 +270,19 @@ def test_fair_centres_lower_the_fair_objective_on_generated_points(spark):
         assert min(row.t_std_centers_ms, row.t_fair_centers_ms, row.t_std_obj_ms, row.t_fair_obj_ms) >= 0
         gains += row.phi_fair <= row.phi_std
     assert gains >= 2
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_null_coordinates_are_refused_in_both_forms(spark, wide):
+    """A large centre set goes through Arrow; the answer must not change with it."""
+    schema = "x array<double>, g string"
+    rows = spark.createDataFrame([([0.0, None], "A"), ([1.0, 1.0], "B"), ([9.0, 9.0], "B")], schema)
+    centers = [[0.0, 0.0], [10.0, 10.0], *([[1e6 + i, 1e6] for i in range(60)] if wide else [])]
+    for result in (
+        lambda: assign(rows, centers),
+        lambda: standard_objective(rows, centers),
+        lambda: cluster_group_means(rows, centers),
+        lambda: lloyd(rows, centers, 1),
+    ):
+        with pytest.raises(Exception, match="none of them null"):
+            result().collect()

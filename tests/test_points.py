@@ -25,9 +25,17 @@ def test_permissive_separates_rejects(spark):
     assert all(r.reason for r in rejects.collect())
 
 
-def test_dimension_comes_from_the_first_good_line(spark):
-    good, rejects = parse_points(lines(spark, ["oops", "1,2,A", "1,2,3,A"]).coalesce(1), "permissive")
-    assert (good.count(), rejects.count()) == (1, 2)
+@pytest.mark.parametrize("order", [1, -1])
+def test_dimension_does_not_depend_on_the_order_of_lines(spark, order):
+    values = ["1,2,3,A", "oops", *["1,2,A"] * 5][::order]
+    good, rejects = parse_points(lines(spark, values).coalesce(1), "permissive")
+    assert (good.count(), rejects.count()) == (5, 2)
+
+
+def test_dimension_of_strict_lines_must_agree(spark):
+    assert parse_points(lines(spark, ["1,2,A", "3,4,B"])).count() == 2
+    with pytest.raises(ValueError, match="set dim"):
+        parse_points(lines(spark, ["1,2,A", "1,2,3,A"]))
 
 
 def test_wide_lines_use_the_same_rules(spark):

@@ -45,6 +45,15 @@ def with_assigned(points: str, centers, tail: str) -> str:
 # Points: source, counts, objectives
 
 add("points_from_text", f"select x0, x1, x2, g from ({LI})")
+add(
+    "points_permissive",
+    f"""with s as (
+        select x1, case when l_orderkey % 7 = 0 then 'empty label' when l_orderkey % 11 = 0 then 'wrong dimension'
+            when l_orderkey % 13 = 0 then 'coordinate is not a finite number' else '' end as reason from ({LI})
+    )
+    select reason, count(*) as n, case when reason = '' then round(sum(x1), 3) else 0.0 end as sum_x1
+    from s group by reason""",
+)
 add("repartitioned_count", f"select count(*) as n, round(sum(x1), 3) as sum_x1, 7::bigint as n_partitions from ({LI})")
 add(
     "gen_group_counts",
@@ -354,6 +363,11 @@ def sketch_ctes(items: str, rows, w: int, prime: int) -> str:
     """
 
 
+add(
+    "items_permissive",
+    f"""select item % 5 <> 0 as accepted, item || case when item % 5 = 0 then 'x' else '' end as value
+    from ({fx.sql_items('part')})""",
+)
 add("parse_items", f"select item from ({fx.sql_items('part')})")
 add(
     "hash_bucket",

@@ -77,11 +77,6 @@ def query(key: str) -> Callable[[Query], Query]:
     return register
 
 
-def cores(spark: SparkSession) -> int:
-    """Partitions for points that are read many times: the given files have a single row group."""
-    return spark.sparkContext.defaultParallelism
-
-
 def rounded(name: str, digits: int = 6, source: Column | str | None = None) -> Column:
     return F.round(name if source is None else source, digits).alias(name)
 
@@ -103,6 +98,22 @@ def points_from_text(spark, sf):
     return parsed.selectExpr("x[0] as x0", "x[1] as x1", "x[2] as x2", "g")
 
 
+@query("points_permissive")
+def points_permissive(spark, sf):
+    """Every few lines are spoiled in one of three ways; the dimension comes from all lines."""
+    key, fields = F.col("l_orderkey"), F.concat_ws(",", F.col("x").cast("array<string>"), "g")
+    value = (
+        F.when(key % 7 == 0, F.concat(fields, F.lit(",")))
+        .when(key % 11 == 0, F.concat(F.lit("1,"), fields))
+        .when(key % 13 == 0, F.concat(F.lit("NaN"), F.substring(fields, F.instr(fields, ","), F.length(fields))))
+        .otherwise(fields)
+    )
+    points, rejects = parse_points(fx.points_li(spark, sf, keys=True).select(value.alias("value")), "permissive")
+    good = points.agg(F.count("*").alias("n"), rounded("sum_x1", 3, F.sum(F.col("x")[1])))
+    bad = rejects.groupBy("reason").agg(F.count("*").alias("n"), F.lit(0.0).alias("sum_x1"))
+    return good.select(F.lit("").alias("reason"), "n", "sum_x1").union(bad)
+
+
 @query("repartitioned_count")
 def repartitioned_count(spark, sf):
     spread = fx.points_li(spark, sf).repartition(7).withColumn("part", F.spark_partition_id())
@@ -263,7 +274,7 @@ def mean_gap_li(spark, sf):
 
 def _lloyd(rounds: int, points, centers) -> Query:
     def run(spark, sf):
-        return exploded(lloyd(points(spark, sf), centers, rounds, cores(spark)), "c", "cluster")
+        return exploded(lloyd(points(spark, sf), centers, rounds), "c", "cluster")
 
     return run
 
@@ -271,7 +282,7 @@ def _lloyd(rounds: int, points, centers) -> Query:
 def _fair(rounds: int, points, centers, other: str = "error") -> Query:
     def run(spark, sf):
         found = fair_lloyd(
-            points(spark, sf), m=rounds, init_centers=centers, other=other, num_partitions=cores(spark)
+            points(spark, sf), m=rounds, init_centers=centers, other=other
         )
         return exploded(found, "c", "cluster")
 
@@ -286,7 +297,7 @@ for _rounds in (1, 3):
 
 @query("fair_lloyd_auto")
 def fair_lloyd_auto(spark, sf):
-    return exploded(fair_lloyd(fx.points_li(spark, sf), 3, 5, SEED, num_partitions=cores(spark)), "c", "cluster")
+    return exploded(fair_lloyd(fx.points_li(spark, sf), 3, 5, SEED), "c", "cluster")
 
 
 @query("fair_lloyd_emb")
@@ -297,19 +308,19 @@ def fair_lloyd_emb(spark, sf):
 
 @query("kmeans_standard")
 def kmeans_standard(spark, sf):
-    points = fx.points_li(spark, sf).repartition(cores(spark))
+    points = fx.points_li(spark, sf)
     return exploded(standard_centers(points, 3, 10, SEED), "c", "cluster")
 
 
 @query("kmeans_init")
 def kmeans_init(spark, sf):
-    points = fx.points_li(spark, sf).repartition(cores(spark))
+    points = fx.points_li(spark, sf)
     return exploded(initial_centers(points, 3, SEED), "c", "cluster")
 
 
 @query("compare_fairness")
 def compare_fairness_li(spark, sf):
-    return compare_fairness(fx.points_li(spark, sf), 3, 5, SEED, cores(spark))
+    return compare_fairness(fx.points_li(spark, sf), 3, 5, SEED)
 
 
 # Items: parsing, hashing, sketches
@@ -321,6 +332,15 @@ def parse_items_part(spark, sf):
     return parse_items(lines)
 
 
+@query("items_permissive")
+def items_permissive(spark, sf):
+    item = F.col("item")
+    value = F.when(item % 5 == 0, F.concat(item.cast("string"), F.lit("x"))).otherwise(item.cast("string"))
+    items, rejects = parse_items(fx.items(spark, sf, "part").select(value.alias("value")), "permissive")
+    accepted = items.select(F.lit(True).alias("accepted"), F.col("item").cast("string").alias("value"))
+    return accepted.union(rejects.select(F.lit(False), "value"))
+
+
 @query("hash_bucket")
 def hash_buckets(spark, sf):
     columns = [hash_bucket(h.cm_a, h.cm_b, W_PART, "item", fx.PRIME).alias(f"b{d}") for d, h in enumerate(fx.HASHES)]
