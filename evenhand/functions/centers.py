@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A centre set is held by the driver and sent to every executor, so its size is checked.
 MAX_CENTERS = 1_000_000
@@ -14,10 +15,13 @@ MAX_CENTER_BYTES = 1 << 30
 def center_matrix(centers: DataFrame | np.ndarray | list) -> np.ndarray:
     """K x d matrix of a centre set given as a table ``(cluster, c)``, a matrix or nested lists."""
     if isinstance(centers, DataFrame):
-        rows = centers.select("cluster", "c").limit(MAX_CENTERS + 1).toArrow().sort_by("cluster")
-        ids = rows.column("cluster").to_pylist()
-        if len(ids) > MAX_CENTERS:
+        size = centers.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("c")), F.lit(0)).alias("cells")).head()
+        if size["n"] > MAX_CENTERS:
             raise ValueError(f"more than {MAX_CENTERS} centres")
+        if 8 * size["cells"] > MAX_CENTER_BYTES:
+            raise ValueError(f"centre set of {8 * size['cells']} bytes is above {MAX_CENTER_BYTES}")
+        rows = centers.select("cluster", "c").toArrow().sort_by("cluster")
+        ids = rows.column("cluster").to_pylist()
         if ids != list(range(len(ids))):
             raise ValueError("cluster ids must be 0..K-1 without gaps")
         centers = rows.column("c").to_pylist()

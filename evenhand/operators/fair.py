@@ -70,20 +70,30 @@ def fair_fixed_cost(points: DataFrame, centers) -> DataFrame:
 
 
 def cluster_shares(points: DataFrame, centers) -> DataFrame:
-    """``(cluster, g, share)``: part of the group that lies in the cluster; clusters without the group are absent."""
+    """``(cluster, g, share)``: part of the group that lies in the cluster, for both groups and every centre."""
+    c = center_matrix(centers)
     whole = Window.partitionBy("g")
     total = F.sum("n_exact").over(whole)
     share = F.when(total > 0, F.col("n") / total).otherwise(0.0)
-    return _sided(points, centers).select("cluster", "g", share.alias("share"))
+    found = _sided(points, c).select("cluster", "g", share.alias("share"))
+    groups = F.explode(F.array(F.lit("A"), F.lit("B"))).alias("g")
+    every = center_table(points.sparkSession, c).select("cluster", groups)
+    return every.join(found, ["cluster", "g"], "left").select(
+        "cluster", "g", F.coalesce("share", F.lit(0.0)).alias("share")
+    )
 
 
 def mean_gap(points: DataFrame, centers) -> DataFrame:
-    """``(cluster, ell)``: distance between the two group means; 0 where a group is absent."""
-    means = cluster_moments(points, centers).groupBy("cluster").agg(
+    """``(cluster, ell)`` of every centre: distance between the two group means; 0 where a group is absent."""
+    c = center_matrix(centers)
+    means = cluster_moments(points, c).groupBy("cluster").agg(
         F.any_value(F.when(F.col("side") == 0, F.col("mean")), F.lit(True)).alias("mean_a"),
         F.any_value(F.when(F.col("side") == 1, F.col("mean")), F.lit(True)).alias("mean_b"),
     )
-    return means.select("cluster", F.coalesce(distance("mean_a", "mean_b"), F.lit(0.0)).alias("ell"))
+    every = center_table(points.sparkSession, c).select("cluster")
+    return every.join(means, "cluster", "left").select(
+        "cluster", F.coalesce(distance("mean_a", "mean_b"), F.lit(0.0)).alias("ell")
+    )
 
 
 def lloyd(points: DataFrame, init_centers, m: int, num_partitions: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenhand.storage import materialize
+
 # The table is cut into this many ranges; only their totals meet in one task.
 RANGES = 128
 
@@ -37,8 +39,9 @@ def with_prior_total(df: DataFrame, order: str, value: str, name: str = "prior",
 def prefix_until_t(batches: DataFrame, t: int) -> DataFrame:
     """Batches ``(batch, n)`` that are processed when a run stops after ``t`` items, with their ``prior`` total.
 
-    A batch is taken whole while fewer than ``t`` items came before it.
+    A batch is taken whole while fewer than ``t`` items came before it. The batch counts are
+    written once to the shared folder, so that finding the cuts does not read their source again.
     """
     if t < 1:
         raise ValueError("t must be at least 1")
-    return with_prior_total(batches, "batch", "n").where(F.col("prior") < t)
+    return with_prior_total(materialize(batches), "batch", "n").where(F.col("prior") < t)

@@ -30,7 +30,11 @@ def evaluate_clustering(points: DataFrame, centers, materialized: bool = False)
     """
     c = center_matrix(centers)
     is_a, is_b = (F.col("g") == "A").eqNullSafe(True), (F.col("g") == "B").eqNullSafe(True)
-    profile = assign(points, c, keep=["g"]).groupBy("cluster").agg(
+    if len(c):
+        assigned = assign(points, c, keep=["g"])
+    else:  # no centre: every cost is 0, and there are no clusters
+        assigned = points.select("g", F.lit(-1).alias("cluster"), F.lit(0.0).alias("dist2"))
+    profile = assigned.groupBy("cluster").agg(
         F.count("*").alias("n"),
         F.count_if(is_a).alias("n_a"),
         F.count_if(is_b).alias("n_b"),

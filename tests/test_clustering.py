@@ -286,3 +286,18 @@ def test_null_coordinates_are_refused_in_both_forms(spark, wide):
     ):
         with pytest.raises(Exception, match="none of them null"):
             result().collect()
+
+
+def test_centers_without_points_have_zero_rows(points):
+    rows = points([([0.0, 0.0], "A"), ([1.0, 0.0], "B"), ([9.0, 9.0], "B")])
+    centers = [[0.0, 0.0], [9.0, 9.0], [500.0, 500.0]]
+    shares = {(r.cluster, r.g): r.share for r in cluster_shares(rows, centers).collect()}
+    assert shares == {(0, "A"): 1.0, (0, "B"): 0.5, (1, "A"): 0.0, (1, "B"): 0.5, (2, "A"): 0.0, (2, "B"): 0.0}
+    assert {r.cluster: r.ell for r in mean_gap(rows, centers).collect()} == {0: 1.0, 1: 0.0, 2: 0.0}
+
+
+def test_report_without_centers(points):
+    summary, clusters = evaluate_clustering(points([([0.0], "A"), ([1.0], "B")]), [])
+    row = summary.collect()[0]
+    assert (row.n, row.n_a, row.n_b, row.delta, row.phi) == (2, 1, 1, 0.0, 0.0)
+    assert clusters.count() == 0
