@@ -1,3 +1,131 @@
 """DuckDB SQL with the rows of the registered queries that SQL can express."""
 
+from __future__ import annotations
+
+from evenhand.llm import decontam, quality
+from evenhand.llm.common import LOWER, UPPER
+from evenhand.llm.ngram_join import PERCENT, N
+
 ORACLES: dict[str, str] = {}
+
+SPACED = r"[^\x20\x09-\x0D]+"
+PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def words(text: str, pattern: str, fold: bool) -> str:
+    whole = f"coalesce({text}, '')"
+    whole = f"translate({whole}, '{UPPER}', '{LOWER}')" if fold else whole
+    return f"regexp_extract_all({whole}, '{pattern}')"
+
+
+ORACLES["op3_decontamination"] = f"""
+with docs as (select doc_id, {words("text", PLAIN, True)} as w from documents),
+items as (select coalesce(item_id::varchar, '') as item, {words("text", PLAIN, True)} as w from benchmark),
+windows as (
+    select distinct item, w[i : i + {decontam.WINDOW_WORDS - 1}] as g
+    from (select item, w, unnest(range(1, greatest(len(w) - {decontam.WINDOW_WORDS - 1}, 1) + 1)) as i
+          from items where len(w) > 0)
+),
+tokens as (select doc_id, unnest(w) as term, unnest(range(len(w))) as pos from docs),
+grams as (
+    select doc_id, i, w[i : i + n - 1] as g, n
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i
+          from docs, (select distinct len(g) as n from windows) where len(w) >= n)
+),
+found as (select doc_id, i, n, item from grams join windows using (g)),
+hit as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + n)) as p from found) group by 1),
+per_doc as (select doc_id, list_sort(list(distinct item)) as l from found group by 1),
+counts as (select term, count(*) as n from tokens group by 1),
+terms as (select distinct item, unnest(w) as term from items),
+ranked as (
+    select item, term, row_number() over (partition by item order by n, term) as r
+    from (select item, term, coalesce(n, 0) as n, min(coalesce(n, 0)) over (partition by item) as least
+          from terms left join counts using (term)) where least > 0
+),
+near as (
+    select doc_id, count(distinct item) as n from (
+        select a.doc_id, r1.item from tokens a join ranked r1 on a.term = r1.term and r1.r = 1
+        left join ranked r2 on r2.item = r1.item and r2.r = 2 left join ranked r3 on r3.item = r1.item and r3.r = 3
+        join tokens b on b.doc_id = a.doc_id and b.term = coalesce(r2.term, a.term)
+        join tokens c on c.doc_id = a.doc_id and c.term = coalesce(r3.term, a.term)
+        where greatest(a.pos, b.pos, c.pos) - least(a.pos, b.pos, c.pos)
+            < {decontam.NEAR_WINDOWS * decontam.WINDOW_WORDS}
+    ) group by 1
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(len(l), 0)::bigint as n_items,
+    sha256(coalesce(array_to_string(l, ','), '')) as items_sha256,
+    coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(w) as contaminated, coalesce(k.n, 0)::bigint as n_near
+from docs d left join hit h using (doc_id) left join per_doc p using (doc_id) left join near k using (doc_id)
+"""
+
+FAILS = f"""
+    (len(lw) <= {quality.ENTRY_WORDS} and not regexp_matches(t, '{quality.CLOSING.replace("'", "''")}'))
+    or (len(lw) <= {quality.BOILERPLATE_WORDS} and regexp_matches(lower(t), '{quality.BOILERPLATE}'))
+    or length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')) > {quality.SYMBOL_SHARE} * len(lw)
+    or (len(lw) >= {quality.ECHO_WORDS} and
+        len(list_filter(range(1, len(lw)), lambda i: lw[i] = lw[i + 1])) >= {quality.ECHO_SHARE} * len(lw))
+"""
+ORACLES["op4_quality"] = f"""
+with docs as (
+    select row_number() over () as r, doc_id, coalesce(text, '') as text, {words("text", SPACED, False)} as w
+    from documents
+),
+lines as (
+    select r, l, trim(l, {WHITE}) as t, {words("l", SPACED, False)} as lw
+    from (select r, unnest(string_split(text, chr(10))) as l from docs) where trim(l, {WHITE}) <> ''
+),
+judged as (
+    select r, count(*) as n_lines, count(*) - count(distinct l) as n_dup_lines,
+        count(*) filter ({FAILS}) as n_bad_lines,
+        coalesce(sum(len(array_to_string(lw, ''))) filter (not ({FAILS})), 0) as kept_chars
+    from lines group by 1
+),
+grams as (
+    select r, i, w[i : i + 4] as g
+    from (select r, w, unnest(range(1, len(w) - 3)) as i from docs where len(w) >= 5)
+),
+again as (select r, i from (select r, i, count(*) over (partition by r, g) as n from grams) where n > 1),
+repeated as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 5)) as p from again) group by 1),
+facts as (
+    select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+        (length(text) - length(regexp_replace(text, '{quality.SYMBOLS}', '', 'g')))::bigint as n_symbols,
+        coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words,
+        coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_bad_lines, 0)::bigint as n_bad_lines,
+        coalesce(kept_chars, 0)::bigint as kept_chars
+    from docs left join judged using (r) left join repeated using (r)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words)
+        and 100 * kept_chars >= {quality.KEPT_PERCENT} * word_chars as kept,
+    n_lines, n_bad_lines, kept_chars
+from facts
+"""
+
+ORACLES["op10_ngram_join"] = f"""
+with recursive docs as (select doc_id, {words("text", SPACED, True)} as w from documents),
+sets as (
+    select doc_id, case when len(w) >= {N}
+        then list_distinct(list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i : i + {N - 1}], ' ')))
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
+    from docs
+),
+elements as (select doc_id, unnest(s) as g from sets),
+pairs as (
+    select a.doc_id as x, b.doc_id as y, count(*) as n
+    from elements a join elements b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+),
+links as (
+    select x, y from pairs p join sets a on a.doc_id = x join sets b on b.doc_id = y
+    where 100 * n >= {PERCENT} * (len(a.s) + len(b.s) - n)
+),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (
+    select doc_id, doc_id as other from sets
+    union
+    select r.doc_id, l.y from reach r join both_ways l on r.other = l.x
+)
+select s.doc_id, any_value(len(s.s))::bigint as n_shingles, min(r.other) as component_id
+from sets s join reach r using (doc_id) group by 1
+"""
