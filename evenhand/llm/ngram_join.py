@@ -3,6 +3,8 @@
 Two sets that link share at least ceil(t n) elements, n being the size of either. So, in any
 fixed order of the elements, their prefixes of n - ceil(t n) + k elements share k of them.
 
+* Sets without at least k elements in their prefix for a larger k that other such sets have in
+  theirs can't link with any. This leaves out texts that only share passages.
 * The order puts elements that many texts share last, so that prefixes hold rare ones.
   Any order gives right results; counts within tasks and a table of bounded size are enough.
 * Small sets enumerate the pairs of elements of their prefix for k = 2: equal pairs meet.
@@ -17,8 +19,6 @@ compared pair by pair. All comparisons are of whole sets.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,6 +33,8 @@ TABLE_SIZE, COUNTED_AT_ONCE = 500_000, 4_000_000
 SIZE_STEPS = 4
 #: Rounds of comparisons with pivots, and pairs of a group, in all, that are compared without another round.
 ROUNDS, DIRECT_PAIRS = 10, 60_000
+#: Passes that leave out sets which share too little with those that are left.
+PASSES = 2
 #: Keys of candidate texts are broadcast up to so many rows; beyond that, texts are joined by shuffle.
 BROADCAST_ROWS = 500_000
 CACHE_SIZE = 1_000_000
@@ -45,6 +47,11 @@ def least_overlap(n: int) -> int:
     return (PERCENT * n + 99) // 100
 
 
+def least_shared(n: Column | int) -> Column | int:
+    """The k for which prefixes are emitted: half of what a set may have of its own, and 2 at least."""
+    return (100 - PERCENT) * n // 200 + 2 if isinstance(n, int) else F.floor((100 - PERCENT) * n / 200) + 2
+
+
 class WordHashes(dict):
     """64-bit hash of every word, worked out when the word is first met."""
 
@@ -145,7 +152,7 @@ def described(docs: DataFrame, key: str) -> DataFrame:
                 n = len(tokens)
                 sizes.append(n)
                 marks.append(signature(tokens) if n else None)
-                length = min(n, n - least_overlap(n) + 2)
+                length = min(n, n - least_overlap(n) + least_shared(n))
                 prefixes.append(prefix(tokens, length, table, counts).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -179,61 +186,73 @@ def prefix(tokens: np.ndarray, length: int, table: np.ndarray, counts: np.ndarra
 
 
 def shared_elements(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(node, n, m, found)``: elements of each class's prefix that another class has in its prefix, in order."""
+    """``(node, n, m, found)``: elements of each class's prefix that other classes have in theirs, in order.
+
+    A class stays if it has enough of them; the second pass counts only classes that stayed.
+    """
     first = sets.select("row", "n", "prefix").join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     postings = first.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("rank", "element"))
-    lists = postings.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
-    return written(
-        postings.join(lists, "element")
-        .groupBy("node", "n")
-        .agg(F.collect_list(F.struct("rank", "element", "df")).alias("found"))
-        .select("node", "n", F.size("found").alias("m"), "found"),
-        "shared",
-    )
+    for turn in range(PASSES):
+        lists = postings.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
+        found = written(
+            postings.join(lists.select("element"), "element")
+            .groupBy("node", "n")
+            .agg(F.collect_list(F.struct("rank", "element")).alias("found"))
+            .withColumn("m", F.size("found"))
+            .filter(F.col("m") >= F.least(least_shared(F.col("n")), F.col("n"))),
+            "shared",
+        )
+        postings = found.select("node", "n", F.explode("found").alias("x")).select("node", "n", "x.rank", "x.element")
+    return found
 
 
-def in_lists(n: Column, found: Column) -> Column:
-    """The elements of the prefix for k = 1, which is one shorter."""
-    return F.filter(found, lambda x: x["rank"] < n - F.floor((PERCENT * n + 99) / 100) + 1)
+def in_prefix(n: Column, found: Column, k: int) -> Column:
+    """The elements of the prefix for k."""
+    return F.filter(found, lambda x: x["rank"] < n - F.floor((PERCENT * n + 99) / 100) + k)
 
 
 def cheapest_boundary(shared: DataFrame) -> int:
-    """The size up to which pairs of elements are enumerated: the least sum of pairs there and scanned lists beyond."""
-    scanned = F.aggregate(in_lists(F.col("n"), F.col("found")), F.lit(0).cast("bigint"), lambda a, x: a + x["df"])
-    step = F.floor(F.log2("n") * SIZE_STEPS)
+    """The size up to which pairs of elements are enumerated, by the least number of rows.
+
+    A small set takes a row for each pair of elements. A large one takes a row for each of its lists,
+    and another one for the comparison there.
+    """
+    n, found = F.col("n"), F.col("found")
+    of_pairs = F.size(in_prefix(n, found, 2)).cast("bigint")
     costs = (
-        shared.groupBy(step.alias("step"))
+        shared.groupBy(F.floor(F.log2("n") * SIZE_STEPS).alias("step"))
         .agg(
-            F.sum(F.col("m").cast("bigint") * (F.col("m") - 1) / 2).alias("pairs"),
-            F.sum(scanned).alias("scanned"),
+            F.sum(of_pairs * (of_pairs - 1) / 2).alias("pairs"),
+            F.sum(2 * F.size(in_prefix(n, found, 1))).alias("lists"),
             F.max("n").alias("largest"),
         )
         .orderBy("step")
         .collect()
     )
-    options = [(sum(c.scanned for c in costs), 0)]
+    options = [(sum(cost.lists for cost in costs), 0)]
     for at, cost in enumerate(costs):
-        beyond = [c for c in costs if c.largest >= least_overlap(cost.largest)]
-        options.append((sum(c.pairs for c in costs[: at + 1]) + sum(c.scanned for c in beyond), cost.largest))
-    if costs:
-        options.append((sum(c.pairs for c in costs), costs[-1].largest + math.ceil(costs[-1].largest / PERCENT * 100)))
+        beyond = [c for c in costs if c.largest >= least_overlap(cost.largest)] if at + 1 < len(costs) else []
+        rows = sum(c.pairs for c in costs[: at + 1]) + sum(c.lists for c in beyond)
+        options.append((rows, cost.largest if beyond else 2 * cost.largest + 2))
     return int(min(options)[1])
 
 
 def meeting_places(shared: DataFrame, boundary: int) -> DataFrame:
     """``(place, node, n, share)``: where sets meet, by pairs of elements (small) or in inverted lists (large)."""
-    by_element = F.sort_array(F.col("found")["element"])
+    by_element = F.col("of_pairs")
     pairs = F.flatten(
         F.transform(
             by_element,
             lambda a, i: F.transform(
-                F.slice(by_element, i + 2, F.greatest(F.col("m") - i - 1, F.lit(0))),
+                F.slice(by_element, i + 2, F.greatest(F.size(by_element) - i - 1, F.lit(0))),
                 lambda b: F.xxhash64(F.lit(2), a, b),
             ),
         )
     )
-    lists = F.transform(in_lists(F.col("n"), F.col("found")), lambda x: F.xxhash64(F.lit(1), x["element"]))
-    share = (F.col("m") / (F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 2)).alias("share")
+    n, found = F.col("n"), F.col("found")
+    shared = shared.withColumn("of_pairs", F.sort_array(in_prefix(n, found, 2)["element"]))
+    lists = F.transform(in_prefix(n, found, 1), lambda x: F.xxhash64(F.lit(1), x["element"]))
+    share = (F.col("m") / n).alias("share")
     small = shared.filter(F.col("n") <= boundary).select(F.explode(pairs).alias("place"), "node", "n", share)
     large = shared.filter(F.col("n") >= least_overlap(boundary)).select(
         F.explode(lists).alias("place"), "node", "n", share
