@@ -13,7 +13,9 @@ from typing import NamedTuple
 
 import numpy as np
 
-STATE, HEAD, CLASS_WORDS, WINDOW = 16, 2048, 64, 24
+STATE, HEAD, CLASS_WORDS, WINDOW = 12, 1024, 32, 24
+#: Output weights stay within this limit; places that are scored at once.
+LIMIT, AT_ONCE = 4.0, 4096
 INIT_SCALE, CLIP, SEED, MOST_LANES = 0.1, 1.0, 7, 384
 Weights = dict[str, np.ndarray]
 
@@ -36,9 +38,9 @@ def initial(layout: Layout) -> Weights:
     weights = {
         "into": draw(layout.head + layout.shared, 3 * STATE),
         "within": draw(STATE, 3 * STATE),
-        "to_class": draw(STATE, layout.classes + layout.shared),
+        "to_class": np.zeros((STATE, layout.classes + layout.shared), np.float32),
         "class_bias": np.zeros(layout.classes + layout.shared, np.float32),
-        "to_word": draw(layout.classes, STATE, CLASS_WORDS),
+        "to_word": np.zeros((layout.classes, STATE, CLASS_WORDS), np.float32),
         "word_bias": np.zeros((layout.classes, CLASS_WORDS), np.float32),
     }
     return weights
@@ -70,16 +72,14 @@ def unflat(values: np.ndarray, layout: Layout) -> Weights:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Run(NamedTuple):
-    """States and gates of one window, by step and lane."""
+    """States and gates of one window, by step, feature and lane."""
 
     before: np.ndarray
     states: np.ndarray
@@ -89,89 +89,122 @@ class Run(NamedTuple):
 
 
 def forward(w: Weights, state: np.ndarray, inputs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, Run]:
-    """All states of a window from the state carried over; ``starts`` marks first words of documents."""
+    """All states of a window from the state carried over; ``starts`` marks first words of documents.
+
+    Features come first in all arrays, so that every operation runs along the lanes.
+    """
     steps, lanes = inputs.shape
-    into = w["into"][inputs]
-    run = Run(*(np.empty((steps, lanes, k * STATE), np.float32) for k in (1, 1, 2, 1, 1)))
+    into = np.ascontiguousarray(w["into"].T)
+    within_weights = np.ascontiguousarray(w["within"].T)
+    run = Run(*(np.empty((steps, k * STATE, lanes), state.dtype) for k in (1, 1, 2, 1, 1)))
     for t in range(steps):
-        before = np.where(starts[t][:, None], np.float32(0), state)
-        within = before @ w["within"]
-        gates = sigmoid(into[t, :, : 2 * STATE] + within[:, : 2 * STATE])
-        new = np.tanh(into[t, :, 2 * STATE :] + gates[:, STATE:] * within[:, 2 * STATE :])
-        state = new + gates[:, :STATE] * (before - new)
-        run.before[t], run.states[t], run.gates[t], run.news[t] = before, state, gates, new
-        run.mixed[t] = within[:, 2 * STATE :]
-    return state, run
+        if starts[t].any():
+            state = state * ~starts[t]
+        within = within_weights @ state
+        now = np.take(into, inputs[t], axis=1)
+        now[: 2 * STATE] += within[: 2 * STATE]
+        gates = sigmoid(now[: 2 * STATE])
+        now[2 * STATE :] += gates[STATE:] * within[2 * STATE :]
+        new = np.tanh(now[2 * STATE :])
+        run.before[t], run.gates[t], run.news[t], run.mixed[t] = state, gates, new, within[2 * STATE :]
+        state = np.add(new, gates[:STATE] * (state - new), out=run.states[t])
+    return state.copy(), run
+
+
+def in_line(values: np.ndarray) -> np.ndarray:
+    """Features by places, from steps, features and lanes."""
+    return values.transpose(1, 0, 2).reshape(values.shape[1], -1)
 
 
 def by_class(targets: np.ndarray, layout: Layout) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows whose target is in the head, class by class."""
-    rows = np.flatnonzero(targets < layout.head)
-    classes = targets[rows] // CLASS_WORDS
+    """Places whose target is in the head, class by class."""
+    places = np.flatnonzero(targets < layout.head)
+    classes = (targets[places] // CLASS_WORDS).astype(np.uint16)
     order = np.argsort(classes, kind="stable")
     bounds = np.searchsorted(classes[order], np.arange(layout.classes + 1))
     for c in range(layout.classes):
         if bounds[c] < bounds[c + 1]:
-            yield c, rows[order[bounds[c] : bounds[c + 1]]]
+            yield c, places[order[bounds[c] : bounds[c + 1]]]
 
 
 def target_classes(targets: np.ndarray, layout: Layout) -> np.ndarray:
     return np.where(targets < layout.head, targets // CLASS_WORDS, targets - layout.head + layout.classes)
 
 
+def class_scores(w: Weights, states: np.ndarray) -> np.ndarray:
+    """Logits of the classes; LIMIT keeps their exponentials finite."""
+    return w["to_class"].T @ states + w["class_bias"][:, None]
+
+
+def word_scores(w: Weights, states: np.ndarray, c: int) -> np.ndarray:
+    return w["to_word"][c].T @ states + w["word_bias"][c][:, None]
+
+
 def log_probabilities(w: Weights, states: np.ndarray, targets: np.ndarray, layout: Layout) -> np.ndarray:
-    """Natural log P(class) P(word | class) of every row; the words of shared classes are left to the caller."""
-    classes = log_softmax(states @ w["to_class"] + w["class_bias"])
-    found = classes[np.arange(len(targets)), target_classes(targets, layout)].astype(float)
-    for c, rows in by_class(targets, layout):
-        words = log_softmax(states[rows] @ w["to_word"][c] + w["word_bias"][c])
-        found[rows] += words[np.arange(len(rows)), targets[rows] % CLASS_WORDS]
+    """Natural log P(class) P(word | class) at every place; the words of shared classes are left to the caller."""
+    found = np.empty(len(targets))
+    aims = target_classes(targets, layout)
+    for low in range(0, len(targets), AT_ONCE):
+        part = slice(low, low + AT_ONCE)
+        scores = class_scores(w, states[:, part])
+        found[part] = scores[aims[part], np.arange(scores.shape[1])]
+        found[part] -= np.log(np.exp(scores, out=scores).sum(0))
+    for c, places in by_class(targets, layout):
+        scores = word_scores(w, states[:, places], c)
+        found[places] += scores[targets[places] % CLASS_WORDS, np.arange(len(places))]
+        found[places] -= np.log(np.exp(scores, out=scores).sum(0))
     return found
 
 
+def errors(scores: np.ndarray, aims: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Gradient of the weighted log-likelihood of the aims by their logits, in the place of these."""
+    np.exp(scores, out=scores)
+    scores *= -weight / scores.sum(0)
+    scores[aims, np.arange(len(aims))] += weight
+    return scores
+
+
 def gradients(
     w: Weights, run: Run, inputs: np.ndarray, targets: np.ndarray, starts: np.ndarray, used: np.ndarray, layout: Layout
 ) -> Weights:
     """Gradients of the mean log-likelihood of the used targets, back to the first step of the window."""
     steps, lanes = inputs.shape
-    states = run.states.reshape(-1, STATE)
-    aim, weight = targets.ravel(), (used.ravel() / max(1, used.sum())).astype(np.float32)
+    states, aim = in_line(run.states), targets.ravel()
+    weight = (used.ravel() / max(1, used.sum())).astype(states.dtype)
     found = {name: np.zeros_like(value) for name, value in w.items()}
 
-    error = -np.exp(log_softmax(states @ w["to_class"] + w["class_bias"]))
-    error[np.arange(len(aim)), target_classes(aim, layout)] += 1
-    error *= weight[:, None]
-    found["to_class"], found["class_bias"] = states.T @ error, error.sum(0)
-    to_states = error @ w["to_class"].T
-    for c, rows in by_class(aim, layout):
-        error = -np.exp(log_softmax(states[rows] @ w["to_word"][c] + w["word_bias"][c]))
-        error[np.arange(len(rows)), aim[rows] % CLASS_WORDS] += 1
-        error *= weight[rows, None]
-        found["to_word"][c], found["word_bias"][c] = states[rows].T @ error, error.sum(0)
-        to_states[rows] += error @ w["to_word"][c].T
-
-    to_states = to_states.reshape(steps, lanes, STATE)
-    to_into = np.empty((steps, lanes, 3 * STATE), np.float32)
+    error = errors(class_scores(w, states), target_classes(aim, layout), weight)
+    found["to_class"], found["class_bias"] = states @ error.T, error.sum(1)
+    to_states = w["to_class"] @ error
+    for c, places in by_class(aim, layout):
+        some = states[:, places]
+        error = errors(word_scores(w, some, c), aim[places] % CLASS_WORDS, weight[places])
+        found["to_word"][c], found["word_bias"][c] = some @ error.T, error.sum(1)
+        to_states[:, places] += w["to_word"][c] @ error
+
+    by_step = np.ascontiguousarray(to_states.reshape(STATE, steps, lanes).transpose(1, 0, 2))
+    to_into = np.empty((steps, 3 * STATE, lanes), states.dtype)
     to_within = np.empty_like(to_into)
-    carried = np.zeros((lanes, STATE), np.float32)
+    carried = np.zeros((STATE, lanes), states.dtype)
     for t in range(steps - 1, -1, -1):
-        down = to_states[t] + carried
-        keep, reset = run.gates[t, :, :STATE], run.gates[t, :, STATE:]
+        down = by_step[t] + carried
+        keep, reset = run.gates[t, :STATE], run.gates[t, STATE:]
         new, before = run.news[t], run.before[t]
         to_new = down * (1 - keep) * (1 - new * new)
-        to_into[t, :, :STATE] = down * (before - new) * keep * (1 - keep)
-        to_into[t, :, STATE : 2 * STATE] = to_new * run.mixed[t] * reset * (1 - reset)
-        to_into[t, :, 2 * STATE :] = to_new
-        to_within[t] = to_into[t]
-        to_within[t, :, 2 * STATE :] *= reset
-        carried = down * keep + to_within[t] @ w["within"].T
-        carried[starts[t]] = 0
-    flat_into = to_into.reshape(-1, 3 * STATE)
-    found["within"] = run.before.reshape(-1, STATE).T @ to_within.reshape(-1, 3 * STATE)
-    order = np.argsort(inputs, axis=None, kind="stable")
-    ids = inputs.ravel()[order]
+        to_into[t, :STATE] = down * (before - new) * keep * (1 - keep)
+        to_into[t, STATE : 2 * STATE] = to_new * run.mixed[t] * reset * (1 - reset)
+        to_into[t, 2 * STATE :] = to_new
+        to_within[t, : 2 * STATE] = to_into[t, : 2 * STATE]
+        to_within[t, 2 * STATE :] = to_new * reset
+        carried = down * keep + w["within"] @ to_within[t]
+        if starts[t].any():
+            carried *= ~starts[t]
+    found["within"] = in_line(run.before) @ in_line(to_within).T
+    ids = inputs.ravel().astype(np.uint16 if layout.head + layout.shared < 65536 else np.int64)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    found["into"][ids[first]] = np.add.reduceat(flat_into[order], first, axis=0)
+    found["into"][ids[first]] = np.add.reduceat(np.take(in_line(to_into), order, axis=1), first, axis=1).T
     return found
 
 
@@ -192,6 +225,8 @@ class Adam:
             first += np.float32(0.1) * (g * scale - first)
             second += np.float32(0.01) * (g * g * scale * scale - second)
             self.w[name] += rate * first / (np.sqrt(second) + np.float32(1e-7))
+        for name in ("to_class", "to_word"):
+            np.clip(self.w[name], -LIMIT, LIMIT, out=self.w[name])
 
 
 class Lanes(NamedTuple):
@@ -236,7 +271,7 @@ def train(w: Weights, documents: list[np.ndarray], layout: Layout, optimiser: Ad
     # Fewer words in a window make noisier gradients: the steps get shorter by the square root.
     optimiser.share = float(np.sqrt(lanes / MOST_LANES))
     laid = laid_out(documents, lanes, 0)
-    state = np.zeros((lanes, STATE), np.float32)
+    state = np.zeros((STATE, lanes), np.float32)
     for low in range(0, len(laid.targets), WINDOW):
         part = slice(low, low + WINDOW)
         state, run = forward(w, state, laid.inputs[part], laid.starts[part])
@@ -250,12 +285,12 @@ def score(w: Weights, documents: list[np.ndarray], layout: Layout) -> np.ndarray
     words = sum(map(len, documents))
     lanes = int(np.clip(words // 2000, 4, 512))
     laid = laid_out(documents, lanes, 0)
-    state = np.zeros((lanes, STATE), np.float32)
+    state = np.zeros((STATE, lanes), np.float32)
     found = np.zeros(laid.targets.shape)
     for low in range(0, len(laid.targets), 2 * WINDOW):
         part = slice(low, low + 2 * WINDOW)
         state, run = forward(w, state, laid.inputs[part], laid.starts[part])
-        found[part] = log_probabilities(w, run.states.reshape(-1, STATE), laid.targets[part].ravel(), layout).reshape(
+        found[part] = log_probabilities(w, in_line(run.states), laid.targets[part].ravel(), layout).reshape(
             found[part].shape
         )
     sums = np.cumsum(np.vstack([np.zeros((1, lanes)), found * laid.used]), axis=0)
