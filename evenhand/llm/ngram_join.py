@@ -32,10 +32,10 @@ TABLE_SIZE, COUNTED_AT_ONCE = 500_000, 4_000_000
 #: Sizes of sets are told apart by so many steps for each doubling when the boundary is chosen.
 SIZE_STEPS = 4
 #: Rounds of comparisons with pivots, and pairs of a group, in all, that are compared without another round.
-ROUNDS, DIRECT_PAIRS = 10, 60_000
+ROUNDS, DIRECT_PAIRS = 5, 200_000
 #: Passes that leave out sets which share too little with those that are left.
 PASSES = 2
-#: Keys of candidate texts are broadcast up to so many rows; beyond that, texts are joined by shuffle.
+#: Keys of candidate texts and labels of nodes are broadcast up to so many rows; beyond that, joins shuffle.
 BROADCAST_ROWS = 500_000
 CACHE_SIZE = 1_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -268,8 +268,7 @@ def whole_sets(docs: DataFrame, places: DataFrame, classes: DataFrame) -> DataFr
         classes.join(places.select("node").distinct(), "node", "left_semi").select("sig", "node", "n", "text_key"),
         "needed",
     )
-    keys = needed.select("text_key")
-    keys = F.broadcast(keys) if needed.count() <= BROADCAST_ROWS else keys
+    keys = checked(needed.select("text_key"))
 
     def read(batches: Batches) -> Batches:
         seen: set[bytes] = set()
@@ -295,14 +294,18 @@ def whole_sets(docs: DataFrame, places: DataFrame, classes: DataFrame) -> DataFr
     )
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets reach the similarity, compared as a whole."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, both, all)`` of the pairs ``(a, b)``: the sizes of intersection and union of the whole sets."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("of_a"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("elements").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return (
-        pairs.join(one, "a").join(two, "b").filter(100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both))
-    ).select("a", "b")
+    found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), "n_a", "n_b")
+    return found.select("a", "b", "both", (F.col("n_a") + F.col("n_b") - F.col("both")).alias("all"))
+
+
+def checked(table: DataFrame) -> DataFrame:
+    """Broadcast a written table only if it has few rows; the joins with it then move nothing."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -310,13 +313,14 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = written(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), "a").alias("label")), "labels")
     while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
+        to_b, jump = (
+            checked(labels.select(F.col("node").alias(at), F.col("label").alias(name)))
+            for at, name in (("b", "of_b"), ("label", "jump"))
+        )
+        near = edges.join(to_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("of_b").alias("near"))
+        new = near.join(checked(labels), "node").join(jump, "label", "left")
         new = written(
-            labels.join(near, labels["node"] == near["a"])
-            .join(jump, "label", "left")
-            .select("node", F.col("label").alias("old"), F.least("label", "near", "jump").alias("label")),
-            "labels",
+            new.select("node", F.col("label").alias("old"), F.least("label", "near", "jump").alias("label")), "labels"
         )
         if new.filter("label <> old").isEmpty():
             return new.select("node", "label")
@@ -325,12 +329,15 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def joined_to(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components ``(node, label)`` after more links between nodes."""
-    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab")
+    a, b = (checked(labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))) for x in "ab")
     edges = links.join(a, "a").join(b, "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-    edges = edges.filter("a <> b").distinct()
+    edges = written(edges.filter("a <> b").distinct(), "merged")
+    if edges.isEmpty():
+        return labels
     found = connected(edges).select(F.col("node").alias("label"), F.col("label").alias("new"))
     return written(
-        labels.join(found, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "components"
+        labels.join(checked(found), "label", "left").select("node", F.coalesce("new", "label").alias("label")),
+        "components",
     )
 
 
@@ -343,12 +350,14 @@ def components(places: DataFrame, sets: DataFrame) -> DataFrame:
     """``(node, label)`` of all sets that meet another one: label is the smallest node of the component.
 
     In each round every place names one pivot, of the largest component there, and its other
-    components' sets are compared with it. Places within one component are done.
+    components' sets are compared with it. Places within one component are done. What stays apart
+    is compared pair by pair, except where the distances from the first pivot rule a link out.
     """
     labels = written(sets.select("node", F.col("node").alias("label")), "components")
+    places = places.withColumn("far", F.lit(None).cast("double"))
     for turn in range(ROUNDS + 1):
-        sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-        members = places.join(labels, "node").join(sizes, "label")
+        sizes = written(labels.groupBy("label").agg(F.count("*").alias("size")), "sizes")
+        members = places.join(checked(labels), "node").join(checked(sizes), "label")
         # At first the set with the least elements of its own, as the origin of copies has; later any by hash.
         order = F.struct("size", F.when(F.lit(turn == 0), F.col("share")), F.xxhash64("node", F.lit(turn)))
         open_places = (
@@ -362,21 +371,49 @@ def components(places: DataFrame, sets: DataFrame) -> DataFrame:
             .filter("low <> high")
             .select("place", "sets", "pivot")
         )
-        rest = written(members.select("place", "node", "n", "label").join(open_places, "place"), "open")
+        rest = written(members.drop("size").join(open_places, "place"), "open")
+        # Places within one component are done for good.
+        places = rest.select("place", "node", "n", "share", "far")
         apart = rest.groupBy("place", "label", "sets").agg(F.count("*").alias("own"))
         apart = apart.agg(F.sum(F.col("own") * (F.col("sets") - F.col("own")) / 2).alias("pairs")).collect()[0].pairs
         if not apart:
             break
         direct = turn == ROUNDS or apart <= DIRECT_PAIRS
-        if direct:
-            one = rest.select("place", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-            two = rest.select("place", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-            pairs = one.join(two, "place").filter("a < b and l_a <> l_b").filter(fits(F.col("n_a"), F.col("n_b")))
+        if direct and turn:
+            one, two = (
+                rest.select("place", *[F.col(name).alias(f"{name}_{x}") for name in ("node", "n", "label", "far")])
+                for x in "ab"
+            )
+            # Jaccard distance is a metric: sets that link are about as far from the first pivot of their place.
+            near = F.abs(F.col("far_a") - F.col("far_b")) <= 1 - PERCENT / 100 + 1e-9
+            pairs = (
+                one.join(two, "place")
+                .filter("node_a < node_b and label_a <> label_b")
+                .filter(fits(F.col("n_a"), F.col("n_b")) & F.coalesce(near, F.lit(True)))
+                .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+            )
         else:
             pairs = rest.filter(F.col("label") != F.col("pivot.label")).filter(fits(F.col("n"), F.col("pivot.n")))
             pairs = pairs.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
-        labels = joined_to(labels, written(linked(pairs.select("a", "b").distinct(), sets), "links"))
-        if direct:
+        found = written(compared(pairs.distinct(), sets), "compared")
+        if not turn:
+            far = found.select(
+                F.col("a").alias("node"), F.col("b").alias("pivot_node"), (1 - F.col("both") / F.col("all")).alias("far")
+            )
+            places = written(
+                rest.select("place", "node", "n", "share", F.col("pivot.node").alias("pivot_node"))
+                .join(checked(far), ["node", "pivot_node"], "left")
+                .select(
+                    "place",
+                    "node",
+                    "n",
+                    "share",
+                    F.when(F.col("node") == F.col("pivot_node"), 0.0).otherwise(F.col("far")).alias("far"),
+                ),
+                "places",
+            )
+        labels = joined_to(labels, found.filter(100 * F.col("both") >= PERCENT * F.col("all")).select("a", "b"))
+        if direct and turn:
             break
     return labels
 
