@@ -37,18 +37,18 @@ def symbols(text: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with words is navigation, boilerplate, symbols or an echo of single words."""
-    trimmed = F.btrim(line, F.lit(WHITE))
-    words = F.split(trimmed, WHITE_RUN)
+    """Whether a line with words is navigation, boilerplate, symbols or an echo of single words.
+
+    ``line`` has the fields line, trimmed and words, so that each is worked out once.
+    """
+    trimmed, words = line["trimmed"], line["words"]
     n = F.size(words)
-    echoes = F.size(
-        F.filter(F.arrays_zip(words.alias("a"), F.slice(words, 2, n).alias("b")), lambda pair: pair["a"] == pair["b"])
-    )
+    echoes = F.size(F.filter(words, lambda word, at: word == F.get(words, at + 1)))
     return (
-        (symbols(line) > SYMBOL_SHARE * n)
-        | ((n >= ECHO_WORDS) & (echoes >= ECHO_SHARE * n))
-        | ((n <= ENTRY_WORDS) & ~trimmed.rlike(CLOSING))
+        ((n <= ENTRY_WORDS) & ~trimmed.rlike(CLOSING))
         | ((n <= BOILERPLATE_WORDS) & F.lower(trimmed).rlike(BOILERPLATE))
+        | (symbols(trimmed) > SYMBOL_SHARE * n)
+        | ((n >= ECHO_WORDS) & (echoes >= ECHO_SHARE * n))
     )
 
 
@@ -87,20 +87,34 @@ def quality(docs: DataFrame) -> DataFrame:
         "row",
         TEXT,
         split_words(F.col(TEXT)).alias(WORDS),
-        F.filter(F.split(TEXT, "\n"), lambda line: F.btrim(line, F.lit(WHITE)) != "").alias(LINES),
+        F.filter(
+            F.transform(
+                F.split(TEXT, "\n"),
+                lambda line: F.struct(line.alias("line"), F.btrim(line, F.lit(WHITE)).alias("trimmed")),
+            ),
+            lambda line: line["trimmed"] != "",
+        ).alias(LINES),
+    ).withColumn(
+        "__lines_split",
+        F.transform(
+            LINES,
+            lambda x: F.struct(
+                x["line"].alias("line"), x["trimmed"].alias("trimmed"), F.split(x["trimmed"], WHITE_RUN).alias("words")
+            ),
+        ),
     )
     grams = F.transform(
         F.slice(WORDS, WINDOW, F.greatest(F.size(WORDS) - (WINDOW - 1), F.lit(0))),
         lambda last, at: F.concat_ws(" ", *[F.get(F.col(WORDS), at + k) for k in range(WINDOW - 1)], last),
     )
-    good = F.filter(LINES, lambda line: ~line_fails(line))
+    good = F.filter("__lines_split", lambda line: ~line_fails(line))["line"]
     judged = split.select(
         "row",
         F.size(WORDS).cast("bigint").alias("n_words"),
         F.length(F.array_join(WORDS, "")).cast("bigint").alias("word_chars"),
         symbols(F.col(TEXT)).cast("bigint").alias("n_symbols"),
         F.size(LINES).cast("bigint").alias("n_lines"),
-        (F.size(LINES) - F.size(F.array_distinct(LINES))).cast("bigint").alias("n_dup_lines"),
+        (F.size(LINES) - F.size(F.array_distinct(F.col(LINES)["line"]))).cast("bigint").alias("n_dup_lines"),
         grams.alias(GRAMS),
         good.alias("__good"),
     )
@@ -117,7 +131,9 @@ def quality(docs: DataFrame) -> DataFrame:
         F.array_join("__good", "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    left = F.length(F.regexp_replace("clean_text", WHITE_RUN, "")).cast("bigint")
+    left = F.when(F.col("n_bad_lines") == 0, F.col("word_chars")).otherwise(
+        F.length(F.regexp_replace("clean_text", WHITE_RUN, "")).cast("bigint")
+    )
     return (
         scored.withColumn("base_failed", failed)
         .withColumn("kept_chars", left)
