@@ -13,7 +13,9 @@ from typing import NamedTuple
 
 import numpy as np
 
-STATE, HEAD, CLASS_WORDS, WINDOW = 12, 1024, 32, 24
+STATE, CLASS_WORDS, WINDOW = 16, 128, 24
+#: Words seen so often are in the head, which holds so many words at least, if there are, and at most.
+LEARNT, HEAD, MOST_HEAD = 50, 2048, 8192
 #: Output weights stay within this limit; places that are scored at once.
 LIMIT, AT_ONCE = 4.0, 4096
 INIT_SCALE, CLIP, SEED, MOST_LANES = 0.1, 1.0, 7, 384
@@ -32,6 +34,12 @@ class Layout(NamedTuple):
         return cls(head, -(-head // CLASS_WORDS), shared)
 
 
+def head_size(counts: np.ndarray) -> int:
+    """Words in the head, from all counts in falling order."""
+    learnt = int(np.searchsorted(-counts, -LEARNT, side="right"))
+    return min(max(HEAD, learnt), MOST_HEAD, len(counts))
+
+
 def initial(layout: Layout) -> Weights:
     rng = np.random.default_rng(SEED)
     draw = lambda *shape: (INIT_SCALE * rng.standard_normal(shape)).astype(np.float32)

@@ -112,12 +112,14 @@ def frequent_words(counts: DataFrame) -> Table:
     table = again.filter(level >= least).toArrow()
     rows = sorted(zip((-n for n in table["c"].to_pylist()), map(bytes, table["word"].to_pylist())))
     ends = counts.filter(F.col("word") == F.lit(END)).collect()
+    falling = np.array([-n for n, _ in rows], np.int64)
     return Table(
         b"\n".join([END, *(word for _, word in rows)]),
-        np.array([ends[0].c if ends else 1, *(-n for n, _ in rows)], np.int64),
+        np.append(ends[0].c if ends else 1, falling),
         sums.total or 0,
         sums.distinct,
-        min(gru.HEAD, 1 + len(rows)),
+        # The end of documents comes first, whatever its count.
+        gru.head_size(np.append(max(falling.max(initial=1), gru.LEARNT), falling)),
     )
 
 

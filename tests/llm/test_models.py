@@ -15,7 +15,7 @@ from evenhand.llm import gru
 from evenhand.llm.common import crc_remainder, lower_words
 from evenhand.llm.decontam import contamination
 from evenhand.llm.html import main_text, trained
-from evenhand.llm.lm import likelihoods
+from evenhand.llm.lm import END, frequent_words, likelihoods
 from evenhand.llm.packing import CAPACITY, first_fit_decreasing, pack
 from evenhand.llm.queries import QUERIES, vocabulary
 from evenhand.llm.tokens import PieceCache, count_tokens
@@ -120,6 +120,16 @@ def test_language_model(documents, whole):
     assert np.isfinite(scores).all() and scores[:, 1].sum() > scores[:, 0].sum()
 
 
+def test_head_follows_the_vocabulary(spark):
+    assert gru.STATE >= 16 and gru.HEAD >= 2048
+    for n_words, count, head in ((3000, gru.LEARNT, 3001), (3000, 2, gru.HEAD), (500, 2, 501), (9000, 90, gru.MOST_HEAD)):
+        rows = [(f"w{k}".encode(), count) for k in range(n_words)]
+        counts = spark.createDataFrame([(END, 7), *rows, (b"once", 1)], "word binary, c bigint")
+        table = frequent_words(counts)
+        assert (table.head, len(table.counts), table.counts[0]) == (head, n_words + 1, 7)
+        assert (table.targets() < table.head).sum() == head
+
+
 PAGE = """<html><body><header><a href=/>Home</a><h2>My site</h2></header>
 <div class="cookie-notice">We use cookies to give you a good time on this site and others, do you accept it?</div>
 <!-- <p>no</p> --><div id=main-content><h1>Title here</h1><p>First &eacute;&nbsp; x <a href="a>b">link</a> more
