@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Characters on either side in which a context word counts, what it adds, and the least score of a span.
 NEARBY, CONTEXT_GAIN, LEAST_SCORE = 40, 0.2, 0.5
+#: Characters that hold an IBAN with a space before each of its up to 34 characters, and what follows it.
+LONGEST = 68
 
 
 class Kind(NamedTuple):
@@ -18,6 +20,8 @@ class Kind(NamedTuple):
     ``hint`` must match every text with a span; it spares the others the full search. The patterns use
     possessive loops, which match the same texts and need no stack or backtracking, and start only where a
     run of characters starts or the search goes on (``\\G``), so that long runs cost linear time.
+    If a kind has ``wholes``, its pattern matches the starts alone, and a span is the first valid match of
+    these patterns there, in at most LONGEST characters.
     """
 
     name: str
@@ -26,6 +30,7 @@ class Kind(NamedTuple):
     valid: Callable[[Column], Column]
     score: float
     context: str
+    wholes: tuple[str, ...] = ()
 
 
 def digits(span: Column) -> Column:
@@ -51,6 +56,23 @@ def valid_iban(span: Column) -> Column:
 
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 
+#: Countries by the length of their IBANs; those of other countries may have any length.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern(size: int) -> str:
+    """An IBAN of so many characters from the start of a text, if it is of a country that has or may have such."""
+    known = "|".join(" ".join(IBAN_COUNTRIES.values()).split())
+    here = "".join(f"{code}|" for code in IBAN_COUNTRIES.get(size, "").split())
+    return rf"^(?:{here}(?!{known})[A-Z]{{2}})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{size - 4}}}(?![A-Za-z0-9])"
+
+
 EMAIL = Kind(
     "email",
     "@",
@@ -88,10 +110,11 @@ BASE = (EMAIL, IP, CARD, PHONE)
 IBAN = Kind(
     "iban",
     r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]",
-    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?+[A-Z0-9]){11})",
     valid_iban,
     0.8,
     r"\b(?:iban|account|bank|transfer)\b",
+    tuple(map(iban_pattern, range(15, 35))),
 )
 SSN = Kind(
     "ssn",
@@ -110,14 +133,24 @@ def confirmed(kind: Kind) -> Column:
     """Confirmed spans of one kind from its columns of hits, gaps and ends, in order."""
     hits, gaps, ends = (F.col(f"__{part}_{kind.name}") for part in ("hits", "gaps", "ends"))
 
+    def whole(hit: Column, at: Column) -> Column:
+        """The span that starts where the hit does; null if none is valid."""
+        if not kind.wholes:
+            return hit
+        text = F.substring("text", F.get(ends, at + 1) - F.length(hit) + 1, F.lit(LONGEST))
+        found = F.array(*[F.regexp_extract(text, pattern, 0) for pattern in kind.wholes])
+        return F.get(F.filter(found, lambda x: (x != "") & kind.valid(x)), F.lit(0))
+
     def span(hit: Column, at: Column) -> Column:
-        end = F.get(ends, at + 1).cast("bigint")
+        start = F.get(ends, at + 1).cast("bigint") - F.length(hit)
+        hit = whole(hit, at)
+        end = start + F.length(hit)
         before, after = F.right(F.get(gaps, at), F.lit(NEARBY)), F.left(F.get(gaps, at + 1), F.lit(NEARBY))
         near = F.lower(F.concat(before, F.lit(" "), after)).rlike(kind.context)
         score = F.round(F.lit(kind.score) + F.when(near, CONTEXT_GAIN).otherwise(0.0), 2)
         return F.struct(
             F.lit(kind.name).alias("kind"),
-            (end - F.length(hit)).alias("start"),
+            start.alias("start"),
             end.alias("end"),
             F.when(kind.valid(hit), score).alias("score"),
         )

@@ -103,6 +103,28 @@ def test_checksums_context_and_marks(spark):
     }
 
 
+def marked_texts(spark, texts: list[str]) -> list[str]:
+    found = personal_data(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string"))
+    return [r[1] for r in sorted(found.select("row.doc_id", redacted(F.col("text"), F.col("spans"))).collect())]
+
+
+def test_ibans_before_capitals_and_digits(spark):
+    texts = {
+        "iban GB82 WEST 1234 5698 7654 32 Please pay": "iban <IBAN> Please pay",
+        "GB82WEST12345698765432 BIC DEUTDEFF": "<IBAN> BIC DEUTDEFF",
+        "DE89 3704 0044 0532 0130 00 100 EUR": "<IBAN> 100 EUR",
+        "é😀 AB12 CD34 GB82WEST12345698765432 NO93 8601 1117 947 X": "é😀 AB12 CD34 <IBAN> <IBAN> X",
+        "DE89370400440532013000 GB82WEST12345698765432": "<IBAN> <IBAN>",
+        # A country without a known length, and numbers that are too short, too long or fail the checksum.
+        "ZZ59 1234 5678 9012 3456 BIC X": "<IBAN> BIC X",
+        "GB82 WEST 1234 5698 7654 Pay": "GB82 WEST 1234 5698 7654 Pay",
+        "GB82WEST12345698765432X": "GB82WEST12345698765432X",
+        "GB83WEST12345698765432 BIC": "GB83WEST12345698765432 BIC",
+        "MT84 MALT 0110 0001 2345 MTLC AST0 01S Pay": "<IBAN> Pay",
+    }
+    assert dict(zip(texts, marked_texts(spark, list(texts)))) == texts
+
+
 def plain_quality(text: str) -> tuple:
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
