@@ -130,8 +130,8 @@ SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
 
 
 def confirmed(kind: Kind) -> Column:
-    """Confirmed spans of one kind from its columns of hits, gaps and ends, in order."""
-    hits, gaps, ends = (F.col(f"__{part}_{kind.name}") for part in ("hits", "gaps", "ends"))
+    """Confirmed spans of one kind from its columns of hits and ends, in order."""
+    hits, ends = (F.col(f"__{part}_{kind.name}") for part in ("hits", "ends"))
 
     def whole(hit: Column, at: Column) -> Column:
         """The span that starts where the hit does; null if none is valid."""
@@ -145,7 +145,9 @@ def confirmed(kind: Kind) -> Column:
         start = F.get(ends, at + 1).cast("bigint") - F.length(hit)
         hit = whole(hit, at)
         end = start + F.length(hit)
-        before, after = F.right(F.get(gaps, at), F.lit(NEARBY)), F.left(F.get(gaps, at + 1), F.lit(NEARBY))
+        first = F.greatest(start - NEARBY, F.lit(0))
+        before = F.substring("text", (first + 1).cast("int"), (start - first).cast("int"))
+        after = F.substring("text", (end + 1).cast("int"), F.lit(NEARBY))
         near = F.lower(F.concat(before, F.lit(" "), after)).rlike(kind.context)
         score = F.round(F.lit(kind.score) + F.when(near, CONTEXT_GAIN).otherwise(0.0), 2)
         return F.struct(
@@ -166,7 +168,7 @@ def personal_data(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame
     and score, ordered by kind as listed, then start. A null text counts as empty and has
     no spans; a null doc_id and columns of any other name pass through in ``row``; repeated
     rows are searched each. No shuffle: the gaps between the matches of a pattern, split
-    by the same pattern, give all places and the context in one walk through the text.
+    by the same pattern, give all places in one walk through the text.
     """
     searched = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     nothing = F.array().cast("array<string>")

@@ -125,6 +125,18 @@ def test_ibans_before_capitals_and_digits(spark):
     assert dict(zip(texts, marked_texts(spark, list(texts)))) == texts
 
 
+def test_context_reaches_over_neighbours(spark):
+    near, far = ("SSN:" + " " * n + "123-45-6789" for n in (36, 37))
+    texts = {
+        "SSN: 123-45-6789, 234-56-7890, 345-67-8901": "SSN: <SSN>, <SSN>, <SSN>",
+        "123-45-6789, 234-56-7890 (social security)": "<SSN>, <SSN> (social security)",
+        "é😀 SSN 123-45-6789/234-56-7890": "é😀 SSN <SSN>/<SSN>",
+        near: "SSN:" + " " * 36 + "<SSN>",
+        far: far,
+    }
+    assert dict(zip(texts, marked_texts(spark, list(texts)))) == texts
+
+
 def plain_quality(text: str) -> tuple:
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
