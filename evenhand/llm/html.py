@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 
 from evenhand.llm.common import Batches
 
-#: Elements without text of their own, elements that end a block, and page furniture.
-RAW = "script|style|noscript|template|iframe|svg|math|object|video|audio|canvas|textarea|select|button|title"
+#: Elements that are raw text up to their end tag, elements whose content is no text of the page but
+#: that end with their parent, elements that end a block, and page furniture.
+RAW = "script|style|noscript|iframe|textarea|title"
+SILENT = frozenset("svg template object video audio canvas select button".split())
 BREAKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure"
     " footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody"
@@ -48,6 +50,15 @@ TOKEN = re.compile(
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
+class Held(NamedTuple):
+    """An open silent element: blocks found before it (None up to the first break), and what was open by then."""
+
+    name: str
+    found: int | None
+    containers: int
+    within: int
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -65,6 +76,9 @@ def blocks(page: str) -> list[Block]:
     linked: list[str] = []
     # Open containers: name, in the main part, in furniture, in a container with a telling name.
     stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # Open silent elements, and the blocks that were opened since the first of them.
+    held: list[Held] = []
+    within: list[str] = []
     links, heading, at = 0, False, 0
 
     def close() -> None:
@@ -77,10 +91,26 @@ def blocks(page: str) -> list[Block]:
         linked.clear()
 
     def add(text: str) -> None:
+        if held and held[-1].found is None:
+            return
         parts.append(text)
         if links:
             linked.append(text)
 
+    def drop(name: str) -> bool:
+        """End a silent element: blocks that were found in it go. Whether there were any."""
+        at = next((k for k in range(len(held) - 1, -1, -1) if held[k].name == name), None)
+        if at is None:
+            return False
+        first = held[at]
+        del held[at:], within[first.within :]
+        if first.found is None:
+            return False
+        parts.clear()
+        linked.clear()
+        del found[first.found :], stack[first.containers :]
+        return True
+
     for token in TOKEN.finditer(page):
         add(page[at : token.start()])
         at = token.end()
@@ -89,9 +119,28 @@ def blocks(page: str) -> list[Block]:
             links = 0 if token["end"] else 1
         elif name == "br" or token["raw"]:
             add(" ")
+        elif name in SILENT:
+            add(" ")
+            # A second button or list ends the first.
+            if (token["end"] or name in ("button", "select")) and drop(name):
+                links, heading = 0, False
+            if not token["end"] and not token["rest"].endswith("/"):
+                held.append(Held(name, None, len(stack), len(within)))
         if name not in BREAKS:
             continue
         close()
+        for k in range(len(held) - 1, -1, -1):
+            if held[k].found is not None:
+                break
+            # Only an end tag within the parent takes away what follows this break.
+            held[k] = held[k]._replace(found=len(found))
+        if held and token["end"]:
+            opened = next((k for k in range(len(within) - 1, -1, -1) if within[k] == name), -1)
+            del within[max(opened, 0) :]
+            while held and held[-1].within > opened:
+                held.pop()
+        elif held and name != "hr" and (name in CONTAINERS or within[-1:] != [name]):
+            within.append(name)
         links, heading = 0, name in HEADINGS and not token["end"]
         if name not in CONTAINERS:
             continue

@@ -145,6 +145,39 @@ def test_main_text():
     assert len(main_text("<div>" * 50_000 + '<a "' * 2000, trained())[0]) <= 1
 
 
+REST = "<p>The rest of the article has some more words to read.</p>"
+BEFORE = "<p>Many words stand at the start of it, and here is an element: %s after.</p>"
+ELEMENTS = {
+    '<svg class="i"/>': "after.",
+    "<svg><title>x</title><text>no</text></svg>": "after.",
+    "<math/>": "after.",
+    "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>": "x=2 after.",
+    "<button>no": "",
+    "<button>no<button>no</button>": "after.",
+    "<select><option>no": "",
+    "<select><option>no</option></select>": "after.",
+    "<object>no": "",
+    "<object><object>no</object>no</object>": "after.",
+    "<video src=x>no": "",
+    "<audio/>": "after.",
+    "<canvas>no</canvas>": "after.",
+    "<script>var t = '</p><p>no</p>'</script>": "after.",
+}
+
+
+def test_text_after_elements_without_text():
+    for element, after in ELEMENTS.items():
+        page = f"<article>{BEFORE % element}{REST}<div>{REST}</div>"
+        first = f"Many words stand at the start of it, and here is an element: {after}".strip()
+        assert main_text(page, trained())[0] == [first, REST[3:-4], REST[3:-4]], element
+    no = "<p>Your browser does not show this, which is no text of the page.</p>"
+    for name in ("video", "object", "template"):
+        assert main_text(f"<article>{REST}<{name}><div>{no}</{name}>{REST}", trained())[0] == [REST[3:-4]] * 2
+        # Never closed in its parent: another one's end takes nothing away.
+        page = f"<article><div><{name}>{REST}</div>{REST}<{name}>{no}</{name}></{name}>{REST}"
+        assert main_text(page, trained())[0] == [REST[3:-4]] * 3
+
+
 def test_main_text_of_pages(spark):
     for row in QUERIES["op6_main_text"](spark, SF).limit(20).collect():
         assert row.n_chars == len(row.text) > 0
