@@ -25,6 +25,8 @@ from evenhand.llm.common import Batches, texts, written
 TABLE_SIZE, COUNTED_AT_ONCE, WORDS_AT_ONCE = 262_144, 400_000, 1_500_000
 #: Learning rates of the rounds; each training document belongs to one round.
 RATES = (0.01, 0.006, 0.003)
+#: Words of a round for which there is one more task, beyond one for each core: every task sends all weights.
+TASK_WORDS = 500_000
 #: Weights that a task sends in one row.
 BLOCK = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -155,6 +157,7 @@ def trained(docs: DataFrame, table: Table) -> np.ndarray:
     shared = [table.counts[low:high].sum() for low, high in zip(bounds, bounds[1:])]
     open_words = table.total - table.counts.sum()
     values = gru.flat(gru.by_counts(layout, table.counts[: table.head], np.array([*shared, open_words])))
+    tasks = max(spark.sparkContext.defaultParallelism, table.total // (len(RATES) * TASK_WORDS))
     for turn, rate in enumerate(RATES):
         start = spark.sparkContext.broadcast(values)
 
@@ -188,7 +191,7 @@ def trained(docs: DataFrame, table: Table) -> np.ndarray:
                     ["block", "weights", "words"],
                 )
 
-        part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(len(RATES))) == turn).select("text")
+        part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(len(RATES))) == turn).select("text").coalesce(tasks)
         reached = part.mapInArrow(fitted, "block bigint, weights array<float>, words bigint")
         means = (
             reached.select("block", "words", F.posexplode("weights").alias("at", "weight"))
