@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evenhand.llm import decontam, quality
+from evenhand.llm import decontam, line_dedup, quality
 from evenhand.llm.common import LOWER, UPPER
 from evenhand.llm.ngram_join import PERCENT, N
 
@@ -129,3 +129,20 @@ reach as (
 select s.doc_id, any_value(len(s.s))::bigint as n_shingles, min(r.other) as component_id
 from sets s join reach r using (doc_id) group by 1
 """
+
+ORACLES["op13_line_dedup"] = f"""
+with lines as (
+    select r, doc_id, unnest(l) as line, unnest(range(len(l))) as i
+    from (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)
+),
+keyed as (select *, translate(trim(line, {WHITE}), '{UPPER}', '{LOWER}') as k from lines),
+shared as (
+    select k, count(distinct r) as n, max(doc_id) as last from keyed
+    where length(k) >= {line_dedup.LEAST_CHARS} group by 1 having count(distinct r) >= {line_dedup.LEAST_DOCS}
+),
+judged as (select r, d.doc_id, i, line, case when last is distinct from d.doc_id then n end as n
+           from keyed d left join shared using (k))
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(n) as n_dropped, coalesce(max(n), 0)::bigint as most_docs,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (n is null), '')) as kept_sha256
+from judged group by r
+"""

@@ -11,6 +11,7 @@ from evenhand.llm.common import crc_remainder, table
 from evenhand.llm.decontam import contaminated, contamination
 from evenhand.llm.html import extract
 from evenhand.llm.licenses import license_spans
+from evenhand.llm.line_dedup import drop_shared_lines
 from evenhand.llm.lm import likelihoods
 from evenhand.llm.ngram_join import similar_groups
 from evenhand.llm.packing import pack
@@ -123,6 +124,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_shared_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"), "most_docs")
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_personal_data": op2_personal_data,
@@ -134,4 +140,5 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op13_line_dedup": op13_line_dedup,
 }
