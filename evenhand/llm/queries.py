@@ -19,6 +19,7 @@ from evenhand.llm.pii import BASE, of_kind, personal_data, span_text
 from evenhand.llm.quality import quality
 from evenhand.llm.tokens import count_tokens, tokenizer_json
 from evenhand.llm.toxicity import TOXIC, toxicity
+from evenhand.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,6 +125,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=32)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_shared_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"), "most_docs")
@@ -140,5 +145,6 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op11_whitening": op11_whitening,
     "op13_line_dedup": op13_line_dedup,
 }
