@@ -146,3 +146,41 @@ select any_value(doc_id) as doc_id, count(*) as n_lines, count(n) as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by i) filter (n is null), '')) as kept_sha256
 from judged group by r
 """
+
+# crc32 of a text of digits, bit by bit.
+CRC32 = """
+    xor(4294967295::ubigint, list_reduce(
+        list_prepend(4294967295::ubigint, list_transform(string_split(conv_id::varchar, ''), c -> ord(c)::ubigint)),
+        (a, b) -> list_reduce(
+            list_prepend(xor(a, b), list_transform(range(8), x -> x::ubigint)),
+            (r, _) -> case when r & 1 = 1 then xor(r >> 1, 3988292384::ubigint) else r >> 1 end)))
+"""
+ORACLES["op12_prefix_trie"] = f"""
+with said as (
+    select conv_id, turn, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} as s,
+        sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest
+    from conversations where conv_id is not null
+),
+convs as (
+    select conv_id, list(s order by turn nulls first, digest) as t, {CRC32} % 6 as h from said group by conv_id
+),
+rebuilt as (
+    select c.conv_id, list_concat(case when b.t is null then [] else b.t[1:c.h] end, c.t[c.h + 1:]) as t
+    from convs c left join convs b on b.conv_id = c.conv_id - c.conv_id % 100
+),
+prefixes as (select conv_id, len(t) as n, d, t[1:d] as p from (select *, unnest(range(len(t) + 1)) as d from rebuilt)),
+nodes as (
+    select p, d, min(conv_id) as conv_id, count(*) as n_convs, coalesce(length(p[d].t), 0) as chars,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '')) as ends_sha256
+    from prefixes group by p, d
+),
+children as (select p[1:d - 1] as p, count(*) as n from nodes where d > 0 group by 1),
+below as (
+    select p[1:a] as p, sum((n_convs - 1) * chars) as saved, count(*) filter (n is null) as leaves
+    from (select *, unnest(range(d + 1)) as a from nodes left join children using (p)) group by 1
+)
+select x.conv_id, x.d as depth, y.conv_id as parent_conv_id, x.n_convs, coalesce(c.n, 0)::bigint as n_children,
+    leaves as n_leaves, saved::bigint as saved_tokens, x.ends_sha256
+from nodes x join below on below.p = x.p left join children c on c.p = x.p
+    left join nodes y on x.d > 0 and y.p = x.p[1:x.d - 1]
+"""

@@ -16,6 +16,7 @@ from evenhand.llm.lm import likelihoods
 from evenhand.llm.ngram_join import similar_groups
 from evenhand.llm.packing import pack
 from evenhand.llm.pii import BASE, of_kind, personal_data, span_text
+from evenhand.llm.prefix_trie import prefix_trie, turn_sequences, with_shared_heads
 from evenhand.llm.quality import quality
 from evenhand.llm.tokens import count_tokens, tokenizer_json
 from evenhand.llm.toxicity import TOXIC, toxicity
@@ -129,6 +130,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=32)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = with_shared_heads(turn_sequences(table(spark, sf_dir, "conversations")), block=100, most=6)
+    return prefix_trie(rebuilt).drop("node")
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_shared_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"), "most_docs")
@@ -146,5 +152,6 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
     "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_line_dedup": op13_line_dedup,
 }
