@@ -150,10 +150,10 @@ from judged group by r
 # crc32 of a text of digits, bit by bit.
 CRC32 = """
     xor(4294967295::ubigint, list_reduce(
-        list_prepend(4294967295::ubigint, list_transform(string_split(conv_id::varchar, ''), c -> ord(c)::ubigint)),
-        (a, b) -> list_reduce(
-            list_prepend(xor(a, b), list_transform(range(8), x -> x::ubigint)),
-            (r, _) -> case when r & 1 = 1 then xor(r >> 1, 3988292384::ubigint) else r >> 1 end)))
+        list_prepend(4294967295::ubigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)::ubigint)),
+        lambda a, b: list_reduce(
+            list_prepend(xor(a, b), list_transform(range(8), lambda x: x::ubigint)),
+            lambda r, i: case when r & 1 = 1 then xor(r >> 1, 3988292384::ubigint) else r >> 1 end)))
 """
 ORACLES["op12_prefix_trie"] = f"""
 with said as (
