@@ -31,6 +31,8 @@ def differences(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | Non
     if sorted(spark_frame.columns) != sorted(sql_frame.columns):
         return f"columns {sorted(spark_frame.columns)} / {sorted(sql_frame.columns)}"
     for name in spark_frame.columns:
+        if spark_frame[name].dtype == "float64" and sql_frame[name].dtype == "Int64":  # integers with nulls
+            spark_frame = spark_frame.assign(**{name: spark_frame[name].astype("Int64")})
         if len(spark_frame) and spark_frame[name].dtype != sql_frame[name].dtype:
             return f"type of {name}: {spark_frame[name].dtype} / {sql_frame[name].dtype}"
     left, right = rows(spark_frame), rows(sql_frame)
