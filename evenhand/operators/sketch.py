@@ -72,6 +72,45 @@ def _build(source: DataFrame, changes: list[tuple[str, str]], w: int) -> DataFra
     return totals.selectExpr(f"cast(slot div {w} as int) as d", f"cast(slot % {w} as int) as col", "v")
 
 
+#: Tables that :func:`frequency_tables` keeps in one, by their number.
+HIST, CMS, CS = 0, 1, 2
+
+
+def frequency_tables(source: DataFrame, hashes, w: int, prime: int = DEFAULT_PRIME) -> DataFrame:
+    """Histogram and both sketches as one table ``(kind, key, v)``, from one scan and one shuffle.
+
+    Every item, of a histogram ``(item, freq)`` or plain, gives its own row and its 2D cells; these are summed
+    together before and after the shuffle. ``kind`` is HIST, CMS or CS and ``key`` the item or the cell's number,
+    see :func:`hist_table`, :func:`cms_table` and :func:`cs_table`. Works on a stream as well.
+    """
+    rows = hash_rows(hashes)
+    entries = [(HIST, "item", "freq")]
+    entries += [(CMS, _cm_slot(row, d, w, prime), "freq") for d, row in enumerate(rows)]
+    entries += [(CS, _cs_slot(row, d, w, prime), f"{_cs_sign(row, prime)} * freq") for d, row in enumerate(rows)]
+    structs = ", ".join(f"struct({kind} as kind, {key} as key, {change} as change)" for kind, key, change in entries)
+    return _counted(source).selectExpr(f"inline(array({structs}))").groupBy("kind", "key").agg(F.sum("change").alias("v"))
+
+
+def hist_table(tables: DataFrame) -> DataFrame:
+    """The histogram ``(item, freq)`` of :func:`frequency_tables`."""
+    return tables.where(F.col("kind") == HIST).selectExpr("key as item", "v as freq")
+
+
+def _cells(tables: DataFrame, kind: int, w: int) -> DataFrame:
+    rows = tables.where(F.col("kind") == kind)
+    return rows.selectExpr(f"cast(key div {w} as int) as d", f"cast(key % {w} as int) as col", "v")
+
+
+def cms_table(tables: DataFrame, w: int) -> DataFrame:
+    """The Count-Min sketch ``(d, col, v)`` of :func:`frequency_tables`."""
+    return _cells(tables, CMS, w)
+
+
+def cs_table(tables: DataFrame, w: int) -> DataFrame:
+    """The Count sketch ``(d, col, v)`` of :func:`frequency_tables`."""
+    return _cells(tables, CS, w)
+
+
 def cms_build(source: DataFrame, hashes, w: int, prime: int = DEFAULT_PRIME) -> DataFrame:
     """Count-Min sketch ``(d, col, v)`` of a histogram ``(item, freq)`` or of plain items ``(item)``."""
     rows = hash_rows(hashes)

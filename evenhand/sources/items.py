@@ -25,6 +25,11 @@ def parse_items(lines: DataFrame, mode: str = "strict"):
     return items, rejects
 
 
+def file_pattern(path: str) -> str:
+    """A pattern that matches ``path`` alone. File streams take a folder or a pattern, not the path of a single file."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def read_items(
     spark: SparkSession,
     fmt: str = "text",
@@ -36,14 +41,16 @@ def read_items(
 ):
     """Items from any Spark source: ``text`` and ``socket`` lines are parsed, other formats give ``column``.
 
-    ``options`` are the source's own (``path``, ``host``, ``port``,
-    ``maxFilesPerTrigger``, ...). File streams other than text need ``schema``.
+    ``options`` are the source's own (``path``, ``host``, ``port``, ...); of a file stream,
+    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` says how much a micro-batch takes in, in whole
+    files by modification time. File streams other than text need ``schema``, of which only
+    ``column`` is read; ``column`` may be an expression over it.
     """
     reader = (spark.readStream if streaming else spark.read).format(fmt).options(**(options or {}))
     if schema is not None:
         reader = reader.schema(schema)
-    source = reader.load()
-    if isinstance(source.schema[column].dataType, T.StringType):
-        return parse_items(source.select(F.col(column).alias("value")), mode)
-    items = source.select(F.col(column).cast("bigint").alias("item"))
+    source = reader.load().select(F.expr(column).alias("value"))
+    if isinstance(source.schema["value"].dataType, T.StringType):
+        return parse_items(source, mode)
+    items = source.select(F.col("value").cast("bigint").alias("item"))
     return items if mode == "strict" else (items, source.select(F.lit("").alias("value")).where("false"))

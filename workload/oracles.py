@@ -453,11 +453,17 @@ PREFIX = f"""with days as (select ts::date as batch, count(*)::bigint as n from
         order by batch rows between unbounded preceding and 1 preceding), 0)::bigint as prior from days),
     kept as (select * from running where prior < {q.PREFIX_T})
     """
-PREFIX_ITEMS = PREFIX + "select user_id as item from events where ts::date in (select batch from kept)"
 add("prefix_until_t", PREFIX + "select batch::varchar as batch, n, prior from kept")
 add("stream_hist", SKEW_3 + HIST)
 add("stream_cms", PART_4 + CM_CELLS)
 add("stream_cs", PART_4 + CS_CELLS)
-PREFIX_SKETCH = sketch_ctes(PREFIX_ITEMS, fx.HASHES, q.W_SKEW, fx.PRIME)
+ALL_TABLES = f"""select 0 as kind, item as key, freq::bigint as v from hist
+    union all select 1, d * {q.W_SKEW} + col, v::bigint from cm
+    union all select 2, d * {q.W_SKEW} + col, v::bigint from cs"""
+add("frequency_tables", SKEW_3 + ALL_TABLES)
+add("stream_tables", SKEW_3 + ALL_TABLES)
+add("batch_table", ORDER_4 + HIST)
+# The table is one file, hence one micro-batch, which is taken whole.
+PREFIX_SKETCH = sketch_ctes(fx.sql_items("user"), fx.HASHES, q.W_SKEW, fx.PRIME)
 add("stream_prefix", PREFIX_SKETCH + HIST)
 add("stream_prefix_report", PREFIX_SKETCH + REPORT)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ from evenhand.operators.sketch import (
     cms_estimate,
     cs_build,
     cs_estimate,
+    frequency_tables,
     item_hist,
     merge_hists,
     merge_sketches,
@@ -48,11 +50,11 @@ from evenhand.operators.sketch import (
 )
 from evenhand.plans.clustering import compare_fairness, evaluate_clustering
 from evenhand.plans.frequencies import heavy_hitter_report
-from evenhand.sources.items import parse_items, read_items
+from evenhand.sources.items import file_pattern, parse_items, read_items
 from evenhand.sources.points import generate_fair_points, parse_points
 from evenhand.storage import new_path
 from evenhand.streaming import sketches as streams
-from evenhand.streaming.replay import replay_prefix
+from evenhand.streaming.sinks import BatchTable
 from workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +66,7 @@ W_SKEW, W_PART, W_ORDER = 50, 500, 4096
 TOP_K = 10
 LARGE_K = 12_000
 PREFIX_T = 2000
-STREAM_FILES = 4
+DELTA_DAYS = 25
 SEED = 7
 GEN_K, GEN_PERC_A, GEN_DISTANCE = 4, 23, 17
 
@@ -400,6 +402,12 @@ def cs_merge(spark, sf):
     return merge_sketches(*parts)
 
 
+@query("frequency_tables")
+def frequency_tables_skew(spark, sf):
+    """Histogram and both sketches from one scan and one shuffle."""
+    return frequency_tables(fx.items(spark, sf, "skew"), fx.HASHES[:3], W_SKEW, fx.PRIME)
+
+
 def _estimates(builder, estimator, stream: str, rows: int, w: int, prime: int) -> Query:
     def run(spark, sf):
         hist = _hist(spark, sf, stream)
@@ -499,64 +507,84 @@ def heavy_hitter_report_listing(spark, sf):
 # Streams
 
 
-def _days(spark, sf) -> DataFrame:
-    return fx.table(spark, sf, "events").select(F.to_date("ts").alias("batch"), F.col("user_id").alias("item"))
-
-
 @query("prefix_until_t")
 def prefix_until_t_days(spark, sf):
-    batches = _days(spark, sf).groupBy("batch").agg(F.count("*").alias("n"))
-    kept = prefix_until_t(batches, PREFIX_T)
+    days = fx.table(spark, sf, "events").select(F.to_date("ts").alias("batch"))
+    kept = prefix_until_t(days.groupBy("batch").agg(F.count("*").alias("n")), PREFIX_T)
     return kept.select(F.col("batch").cast("string").alias("batch"), "n", "prior")
 
 
 def _stream(spark, sf, stream: str) -> DataFrame:
-    """The items of a table as a file stream of several micro-batches."""
-    folder = new_path(spark, "stream-source")
-    fx.items(spark, sf, stream).repartition(STREAM_FILES).write.parquet(folder)
-    options = {"path": folder, "maxFilesPerTrigger": "1"}
-    return read_items(spark, "parquet", options, column="item", schema="item bigint")
+    """The items of a given table as a file stream, at most one of its files for each micro-batch."""
+    name, expression = fx.ITEMS[stream]
+    path = f"{sf}/{name}.parquet"
+    options = {"path": file_pattern(path), "maxFilesPerTrigger": "1"}
+    return read_items(spark, "parquet", options, column=expression, schema=spark.read.parquet(path).schema)
 
 
-def _finish(running) -> None:
-    running.awaitTermination()
+def _streamed(start, *args) -> tuple[SparkSession, str]:
+    """Run a stateful stream over what is there."""
+    spark = args[0].sparkSession
+    out_dir, checkpoint = new_path(spark, "stream-tables"), new_path(spark, "stream-checkpoint")
+    start(*args, out_dir, checkpoint, trigger={"availableNow": True}).awaitTermination()
+    return spark, out_dir
 
 
 @query("stream_hist")
 def stream_hist(spark, sf):
-    out_dir, checkpoint = new_path(spark, "stream-hist"), new_path(spark, "stream-checkpoint")
-    _finish(streams.stream_hist(_stream(spark, sf, "skew"), out_dir, checkpoint, trigger={"availableNow": True}))
-    return streams.read_hist(spark, out_dir)
+    return streams.read_hist(*_streamed(streams.stream_hist, _stream(spark, sf, "skew")))
 
 
-@query("stream_cms")
-def stream_cms(spark, sf):
-    out_dir, checkpoint = new_path(spark, "stream-cms"), new_path(spark, "stream-checkpoint")
-    source = _stream(spark, sf, "part")
-    _finish(
-        streams.stream_cms(source, fx.HASHES, W_PART, out_dir, checkpoint, fx.PRIME, trigger={"availableNow": True})
-    )
-    return streams.read_sketch(spark, out_dir)
+def _stream_sketch(start) -> Query:
+    def run(spark, sf):
+        begin = partial(start, prime=fx.PRIME)
+        return streams.read_sketch(*_streamed(begin, _stream(spark, sf, "part"), fx.HASHES, W_PART))
 
+    return run
 
-@query("stream_cs")
-def stream_cs(spark, sf):
-    out_dir, checkpoint = new_path(spark, "stream-cs"), new_path(spark, "stream-checkpoint")
-    source = _stream(spark, sf, "part")
-    _finish(
-        streams.stream_cs(source, fx.HASHES, W_PART, out_dir, checkpoint, fx.PRIME, trigger={"availableNow": True})
-    )
-    return streams.read_sketch(spark, out_dir)
+
+QUERIES["stream_cms"] = _stream_sketch(streams.stream_cms)
+QUERIES["stream_cs"] = _stream_sketch(streams.stream_cs)
+
+
+@query("stream_tables")
+def stream_tables(spark, sf):
+    begin = partial(streams.stream_tables, prime=fx.PRIME)
+    return streams.read_tables(*_streamed(begin, _stream(spark, sf, "skew"), fx.HASHES[:3], W_SKEW))
+
+
+@query("batch_table")
+def batch_table(spark, sf):
+    """Histogram of a table that arrives in one delta for each 25 days of shipping, 100 of them, merged level by level."""
+    source, item = fx.ITEMS["order"]
+    folder = new_path(spark, "deltas")
+    period = F.floor(F.datediff("l_shipdate", F.lit("1992-01-01")) / DELTA_DAYS).alias("period")
+    cut = item_hist(fx.table(spark, sf, source).select(F.struct(period, F.expr(item).alias("item")).alias("item")))
+    cut.select("item.*", "freq").hint("rebalance", "period").write.partitionBy("period").parquet(folder)
+    deltas = spark.read.schema("item bigint, freq bigint, period int").parquet(folder)
+    first, last = deltas.agg(F.min("period"), F.max("period")).head()
+    table = BatchTable(spark, new_path(spark, "batch-table"), "item bigint, freq bigint", ["item"], "freq")
+    for number in range(last - first + 1):
+        table.write(deltas.where(F.col("period") == first + number).select("item", "freq"), number)
+    return table.read()
+
+
+def _prefix_run(spark, sf) -> streams.PrefixRun:
+    """One query over the given files that stops after ``PREFIX_T`` items, or when nothing is left."""
+    out_dir, checkpoint = new_path(spark, "prefix-tables"), new_path(spark, "prefix-checkpoint")
+    items = _stream(spark, sf, "user")
+    run = streams.stream_sketches(items, fx.HASHES, W_SKEW, PREFIX_T, out_dir, checkpoint, fx.PRIME)
+    run.wait(until_idle=True)
+    return run
 
 
 @query("stream_prefix")
 def stream_prefix(spark, sf):
-    run = replay_prefix(_days(spark, sf), "batch", fx.HASHES, W_SKEW, PREFIX_T, fx.PRIME)
-    return run.hist()
+    return _prefix_run(spark, sf).hist()
 
 
 @query("stream_prefix_report")
 def stream_prefix_report(spark, sf):
-    run = replay_prefix(_days(spark, sf), "batch", fx.HASHES, W_SKEW, PREFIX_T, fx.PRIME)
+    run = _prefix_run(spark, sf)
     report = heavy_hitter_report(run.hist(), fx.HASHES, W_SKEW, TOP_K, fx.PRIME, cms=run.cms(), cs=run.cs())
     return report.summary.select("n_items", "n_distinct", "n_top", rounded("err_cm"), rounded("err_cs"))
