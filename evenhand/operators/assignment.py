@@ -50,8 +50,10 @@ def with_coordinates(points: DataFrame, d: int, keep: Sequence[str]) -> DataFram
 
     A point of another dimension, or with a null coordinate, is an error, as it is in the Arrow form.
     """
+    # Comparing each coordinate is part of the generated code; a higher-order function is not.
+    known = " and ".join(f"x[{j}] is not null" for j in range(d))
     first = (
-        f"case when size(x) = {d} and not exists(x, v -> v is null) then x[0] "
+        f"case when size(x) = {d} and {known} then x[0] "
         f"else raise_error('every point must have {d} coordinates, none of them null') end as _x0"
     )
     others = [f"x[{j}] as _x{j}" for j in range(1, d)]

@@ -1,4 +1,4 @@
-"""Lloyd rounds from given centres: the standard form and the two-group fair form.
+"""Fair Lloyd rounds on two groups, and the statistics they rest on.
 
 A round is one aggregation over the points that returns at most 2K rows; what
 follows on the driver is arithmetic on K-sized arrays. The plan of a round is
@@ -7,19 +7,17 @@ built on the same input every time, so it does not grow with the rounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from evenhand.functions.centers import center_matrix, center_table
 from evenhand.functions.distance import distance
 from evenhand.operators.kmeans import initial_centers
 from evenhand.operators.moments import cluster_moments
+from evenhand.operators.rounds import cached, lloyd  # noqa: F401
 
 # Fixed values of the search for the balance between the groups.
 FIRST_GAMMA = 0.5
@@ -27,26 +25,6 @@ FIRST_STEP = 0.25
 GAMMA_STEPS = 10
 
 
-@contextmanager
-def cached(points: DataFrame, *columns: str, num_partitions: int | None = None) -> Iterator[DataFrame]:
-    """The typed columns, kept in memory and on disk for several passes.
-
-    Points that the caller already keeps are used as they are, unless they are
-    to be spread over ``num_partitions`` partitions.
-    """
-    chosen = points.select(*columns)
-    if num_partitions is not None:
-        chosen = chosen.repartition(num_partitions)
-    elif points.storageLevel.useMemory or points.storageLevel.useDisk:
-        yield chosen
-        return
-    chosen.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield chosen
-    finally:
-        chosen.unpersist()
-
-
 def _sided(points: DataFrame, centers) -> DataFrame:
     side_name = F.when(F.col("side") == 0, "A").otherwise("B")
     return cluster_moments(points, centers).withColumn("g", side_name)
@@ -96,18 +74,6 @@ def mean_gap(points: DataFrame, centers) -> DataFrame:
     )
 
 
-def lloyd(points: DataFrame, init_centers, m: int, num_partitions: int | None = None) -> DataFrame:
-    """``(cluster, c)`` after ``m`` standard Lloyd rounds; a centre without points stays where it is."""
-    c = center_matrix(init_centers)
-    with cached(points, "x", num_partitions=num_partitions) as kept:
-        for _ in range(m):
-            rows = cluster_moments(kept, c, grouped=False).select("cluster", "mean").collect()
-            c = c.copy()
-            for row in rows:
-                c[row["cluster"]] = row["mean"]
-    return center_table(points.sparkSession, c)
-
-
 @dataclass
 class GroupMoments:
     """Moments of both groups in K clusters; first index 0 is A, 1 is not A."""

@@ -48,14 +48,37 @@ def standard_objective(points: DataFrame, centers) -> DataFrame:
 
 def fair_objective(points: DataFrame, centers) -> DataFrame:
     """``(delta_a, delta_b, phi)``: the mean of each group and the larger one, in one pass."""
-    c = center_matrix(centers)
-    if not len(c):
-        zero = F.lit(0.0)
-        return points.agg(zero.alias("delta_a"), zero.alias("delta_b"), zero.alias("phi"))
-    means = assign(points, c, keep=["g"]).agg(
-        *[mean_or_zero(F.when(F.col("g") == g, F.col("dist2"))).alias(f"delta_{g.lower()}") for g in ("A", "B")]
-    )
-    return means.withColumn("phi", F.greatest("delta_a", "delta_b"))
+    return fair_objectives(points, [centers]).drop("set")
+
+
+def fair_objectives(points: DataFrame, center_sets: Sequence) -> DataFrame:
+    """``(set, delta_a, delta_b, phi)`` of several centre sets, numbered as given, from one pass over the points.
+
+    Every set adds its distances to the same row, so the points are read once and one row leaves each task.
+    """
+    matrices = [center_matrix(centers) for centers in center_sets]
+    current = points
+    for i, c in enumerate(matrices):
+        kept = ["g", *[f"_cost{j}" for j in range(i)], *(["x"] if i + 1 < len(matrices) else [])]
+        if len(c):
+            current = assign(current, c, keep=kept).withColumnRenamed("dist2", f"_cost{i}").drop("cluster")
+        else:
+            current = current.select(*kept, F.lit(0.0).alias(f"_cost{i}"))
+    means = [
+        mean_or_zero(F.when(F.col("g") == g, F.col(f"_cost{i}"))).alias(f"_{g}{i}")
+        for i in range(len(matrices))
+        for g in ("A", "B")
+    ]
+    rows = [
+        F.struct(
+            F.lit(i).alias("set"),
+            F.col(f"_A{i}").alias("delta_a"),
+            F.col(f"_B{i}").alias("delta_b"),
+            F.greatest(f"_A{i}", f"_B{i}").alias("phi"),
+        )
+        for i in range(len(matrices))
+    ]
+    return current.agg(*means).select(F.inline(F.array(*rows)))
 
 
 def cluster_stats(points: DataFrame, centers) -> DataFrame:

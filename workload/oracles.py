@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from evenhand.functions.hashing import DEFAULT_PRIME, draw_rows
+from evenhand.operators.kmeans import OVERSAMPLING, START_ROUNDS, TOLERANCE
 from workload import fixtures as fx
 from workload import queries as q
 
@@ -207,18 +210,75 @@ add(
 )
 
 
-def lloyd_sql(points: str, centers, rounds: int) -> str:
-    d = len(centers[0])
-    ctes = [f"pts as ({points})", f"c_0 as ({center_rows(centers)})"]
+def start_of(points: str, centers) -> tuple[list[str], int]:
+    """Tables ``pts`` and ``c_0``, and the dimension; ``centers`` are given, or the tables of a start with it."""
+    if isinstance(centers, Start):
+        return centers.ctes, centers.d
+    return [f"pts as ({points})", f"c_0 as ({center_rows(centers)})"], len(centers[0])
+
+
+class Start(NamedTuple):
+    ctes: list[str]
+    d: int
+
+
+def draw_sql(seed: int, step, key: str = "key") -> str:
+    return f"(('0x' || substr(md5('{seed}|{step}|' || {key}), 1, 13))::bigint::double / {2.0**52!r})"
+
+
+def kmeans_start(points: str, d: int, k: int, seed: int) -> Start:
+    """Tables of the parallel start: candidates by rounds, their weights, then one pick after the other."""
+    xs, cs = ([f"{name}{j}" for j in range(d)] for name in "xc")
+    key = " || ',' || ".join(f"{x}::varchar" for x in xs)
+    renamed = ", ".join(f"{x} as {c}" for x, c in zip(xs, cs))
+    ctes = [
+        f"pts as materialized (select *, {key} as key from ({points}))",
+        f"k_0 as materialized (select 0::bigint as cluster, {renamed}, key from pts "
+        f"order by {draw_sql(seed, 0)}, {', '.join(xs)} limit 1)",
+    ]
+    for r in range(1, START_ROUNDS + 1):
+        likely = f"{draw_sql(seed, r)} * (select sum(dist2) from s_{r}) < {OVERSAMPLING * k!r}::double * dist2"
+        ctes += [
+            f"s_{r} as materialized ({assigned('pts', f'k_{r - 1}', d)})",
+            f"drawn_{r} as materialized (select distinct {', '.join(xs)}, key from s_{r} where {likely})",
+            f"k_{r} as materialized (select * from k_{r - 1} union all "
+            f"select (select count(*) from k_{r - 1}) + row_number() over (order by {', '.join(xs)}) - 1, {renamed}, key from drawn_{r})",
+        ]
+    last = f"k_{START_ROUNDS}"
+    ctes += [
+        f"s_w as (select cluster, count(*) as w from ({assigned('pts', last, d)}) group by 1)",
+        f"cand as materialized (select {last}.*, w from {last} join s_w using (cluster))",
+    ]
+    gap = " + ".join(f"(cand.{c} - q.{c}) * (cand.{c} - q.{c})" for c in cs)
+    for p in range(k):
+        race = f"-ln({draw_sql(seed, f'pick {p}')} + {0.5 / 2.0**52!r}) / (w * {'gap' if p else '1'}), cluster"
+        found = f"(select *, (select min({gap}) from p_{p - 1} q) as gap from cand)" if p else "cand"
+        own = f"select {p}::bigint as pick, {', '.join(cs)} from {found} {'where gap > 0' if p else ''} order by {race} limit 1"
+        ctes.append(f"p_{p} as materialized ({f'select * from p_{p - 1} union all ' if p else ''}select * from ({own}))")
+    ctes.append(f"c_0 as materialized (select pick as cluster, {', '.join(cs)} from p_{k - 1})")
+    return Start(ctes, d)
+
+
+def lloyd_sql(points: str, centers, rounds: int, tolerance: float | None = None, tail: str | None = None) -> str:
+    ctes, d = start_of(points, centers)
+    ctes = list(ctes)
     for r in range(rounds):
         means = ", ".join(f"avg(x{j}) as m{j}" for j in range(d))
         moved = ", ".join(f"coalesce(m{j}, c{j}) as c{j}" for j in range(d))
+        if tolerance is not None and r:
+            gap = " + ".join(f"(a.c{j} - b.c{j}) * (a.c{j} - b.c{j})" for j in range(d))
+            stop = f"select max({gap}) <= {tolerance**2!r}::double as stop from c_{r} a join c_{r - 1} b using (cluster)"
+            ctes.append(f"stop_{r} as materialized ({stop})")
+            moved = ", ".join(
+                f"case when (select stop from stop_{r}) then c{j} else coalesce(m{j}, c{j}) end as c{j}" for j in range(d)
+            )
         ctes.append(f"a_{r} as materialized ({assigned('pts', f'c_{r}', d)})")
         ctes.append(f"m_{r} as (select cluster, {means} from a_{r} group by cluster)")
         ctes.append(
             f"c_{r + 1} as materialized (select cluster::int as cluster, {moved} from c_{r} left join m_{r} using (cluster))"
         )
-    return f"with {', '.join(ctes)} " + unpivot(f"c_{rounds}", [f"c{j}" for j in range(d)], "cluster", 4)
+    tail = tail or unpivot(f"c_{rounds}", [f"c{j}" for j in range(d)], "cluster::int as cluster", 4)
+    return f"with {', '.join(ctes)} {tail}"
 
 
 OFFSET = "coalesce((1 - gamma) * beta * ell / nullif(gamma * alpha + (1 - gamma) * beta, 0), 0)"
@@ -241,14 +301,14 @@ def gamma_steps(r: int) -> list[str]:
     return ctes
 
 
-def fair_lloyd_sql(points: str, centers, rounds: int) -> str:
+def fair_lloyd_sql(points: str, centers, rounds: int, tail: str | None = None) -> str:
     """Fair rounds as chained tables: moments, ten evaluations of gamma, new centres.
 
     Once the costs of both groups are equal gamma stays, and so do the offsets.
     Labels other than A count with B in the sums, but not in the size of B.
     """
-    d = len(centers[0])
-    ctes = [f"pts as ({points})", f"c_0 as ({center_rows(centers)})"]
+    ctes, d = start_of(points, centers)
+    ctes = list(ctes)
     for r in range(rounds):
         raw = ", ".join(
             f"avg(x{j}) filter (g = 'A') as a{j}, avg(x{j}) filter (g <> 'A') as b{j}" for j in range(d)
@@ -277,7 +337,8 @@ def fair_lloyd_sql(points: str, centers, rounds: int) -> str:
             f"n_{r} as (select cluster, {new} from (select *, {OFFSET} as x from l_{r}, g_{r}_9))",
             f"c_{r + 1} as materialized (select cluster::int as cluster, {kept} from c_{r} left join n_{r} using (cluster))",
         ]
-    return f"with {', '.join(ctes)} " + unpivot(f"c_{rounds}", [f"c{j}" for j in range(d)], "cluster", 4)
+    tail = tail or unpivot(f"c_{rounds}", [f"c{j}" for j in range(d)], "cluster::int as cluster", 4)
+    return f"with {', '.join(ctes)} {tail}"
 
 
 for _rounds in (1, 3):
@@ -286,6 +347,26 @@ for _rounds in (1, 3):
     add(f"fair_lloyd_three_{_rounds}", fair_lloyd_sql(THREE, fx.CENTERS_THREE, _rounds))
 
 
+START = kmeans_start(LI, 3, 3, q.SEED)
+add("kmeans_init", lloyd_sql(LI, START, 0))
+add("kmeans_standard", lloyd_sql(LI, START, 10, TOLERANCE))
+add("fair_lloyd_auto", fair_lloyd_sql(LI, START, 5))
+PHI = f"select greatest(delta_a, delta_b) as phi from (select {DELTAS} from ({assigned('pts', 'c_5', 3)}))"
+TIMED = ", ".join(f"true as t_{name}" for name in ("std_centers", "fair_centers", "std_obj", "fair_obj"))
+add(
+    "compare_fairness",
+    f"select round(s.phi, 4) as phi_std, round(f.phi, 4) as phi_fair, {TIMED} "
+    f"from ({lloyd_sql(LI, START, 5, TOLERANCE, PHI)}) s, ({fair_lloyd_sql(LI, START, 5, PHI)}) f",
+)
+add(
+    "fair_objectives",
+    " union all ".join(
+        f"select {i} as set, * from ({with_assigned(LI, centers, FAIR)})"
+        for i, centers in enumerate([fx.CENTERS_LI, fx.CENTERS_LI[:2], fx.CENTERS_LI[::-1]])
+    ),
+)
+
+
 def fair_lloyd_long_sql(rounds: int) -> str:
     """Fair rounds on the embeddings, with one row per coordinate."""
     ctes = [

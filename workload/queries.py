@@ -17,12 +17,12 @@ from evenhand.operators.fair import (
     cluster_shares,
     fair_fixed_cost,
     fair_lloyd,
-    lloyd,
     mean_gap,
 )
 from evenhand.operators.groups import (
     cluster_stats,
     fair_objective,
+    fair_objectives,
     group_counts,
     group_filter,
     group_hist,
@@ -37,6 +37,7 @@ from evenhand.operators.heavy import (
 )
 from evenhand.operators.kmeans import initial_centers, standard_centers
 from evenhand.operators.prefix import prefix_until_t
+from evenhand.operators.rounds import lloyd
 from evenhand.operators.sketch import (
     cms_build,
     cms_estimate,
@@ -322,7 +323,17 @@ def kmeans_init(spark, sf):
 
 @query("compare_fairness")
 def compare_fairness_li(spark, sf):
-    return compare_fairness(fx.points_li(spark, sf), 3, 5, SEED)
+    found = compare_fairness(fx.points_li(spark, sf), 3, 5, SEED)
+    timed = [(F.col(name) >= 0).alias(name.removesuffix("_ms")) for name in found.columns if name.endswith("_ms")]
+    return found.select(rounded("phi_std", 4), rounded("phi_fair", 4), *timed)
+
+
+@query("fair_objectives")
+def fair_objectives_li(spark, sf):
+    """Several centre sets in one scan."""
+    sets = [fx.CENTERS_LI, fx.CENTERS_LI[:2], fx.CENTERS_LI[::-1]]
+    found = fair_objectives(fx.points_li(spark, sf), sets)
+    return found.select("set", rounded("delta_a"), rounded("delta_b"), rounded("phi"))
 
 
 # Items: parsing, hashing, sketches
