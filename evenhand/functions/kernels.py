@@ -71,6 +71,68 @@ def sq_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
+def two_nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`nearest` (index and distance, not squared), and the distance to the second nearest (infinite without one)."""
+    index, d2 = nearest(x, c)
+    second = np.full(len(x), np.inf)
+    if len(c) > 1:
+        c_sq = np.einsum("kd,kd->k", c, c)
+        step = max(1, BLOCK_CELLS // len(c))
+        for lo in range(0, len(x), step):
+            rows, at = x[lo : lo + step], index[lo : lo + step]
+            x_sq = np.einsum("nd,nd->n", rows, rows)
+            approx = x_sq[:, None] + c_sq - 2.0 * rows @ c.T
+            approx[np.arange(len(rows)), at] = np.inf
+            # Below the true value by the rounding error of the product form.
+            error = 8.0 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (x_sq + c_sq.max())
+            second[lo : lo + step] = np.sqrt(np.maximum(approx.min(axis=1) - error, 0.0))
+    return index, np.sqrt(d2), second
+
+
+# Bounds are widened by this share for every step that rounds.
+BOUND_SLACK = 1e-12
+
+
+class CenterShift:
+    """How centres moved between two rounds, and how far each is from the others."""
+
+    def __init__(self, old: np.ndarray, new: np.ndarray):
+        self.new = new
+        self.moved = np.sqrt(((new - old) ** 2).sum(axis=1)) * (1 + BOUND_SLACK)
+        order = np.argsort(self.moved)
+        self.first = int(order[-1])
+        self.most = self.moved[order[-1]]
+        self.second = self.moved[order[-2]] if len(new) > 1 else 0.0
+        self.half = np.full(len(new), np.inf)
+        for k in range(len(new)):
+            if len(new) > 1:
+                gap = np.sqrt(sq_distances(np.delete(new, k, axis=0), new[k : k + 1])).min()
+                self.half[k] = 0.5 * gap * (1 - BOUND_SLACK)
+
+    def advance(self, x: np.ndarray, cluster: np.ndarray, upper: np.ndarray, lower: np.ndarray):
+        """Assignment and bounds under the new centres, and the number of distances that it took.
+
+        ``upper`` bounds the distance to the own centre from above and ``lower`` that to all others from below. A
+        point stays without a look at any other centre only if its upper bound is strictly below the lower one, or
+        below half the way to the next centre; whatever could be a tie is settled by all distances, as in the first round.
+        """
+        upper = (upper + self.moved[cluster]) * (1 + BOUND_SLACK)
+        others = np.where(cluster == self.first, self.second, self.most)
+        lower = np.maximum((lower - others) * (1 - np.sign(lower - others) * BOUND_SLACK), 0.0)
+        safe = np.maximum(lower, self.half[cluster]) * (1 - BOUND_SLACK)
+        open_ = np.flatnonzero(~(upper < safe))
+        count = len(open_)
+        upper[open_] = np.sqrt(sq_distances(x[open_], self.new[cluster[open_]])) * (1 + BOUND_SLACK)
+        open_ = open_[~(upper[open_] < safe[open_])]
+        if len(open_):
+            cluster = cluster.copy()
+            cluster[open_], upper[open_], lower[open_] = two_nearest(x[open_], self.new)
+            upper[open_] *= 1 + BOUND_SLACK
+            lower[open_] *= 1 - BOUND_SLACK
+            count += len(open_) * len(self.new)
+        return cluster, upper, lower, count
+
+
 def append_nearest(
     batches: Iterator[pa.RecordBatch], c: np.ndarray, first: int, keep: list[str], refine: bool
 ) -> Iterator[pa.RecordBatch]:
@@ -92,27 +154,27 @@ def append_nearest(
         )
 
 
-def partition_moments(batches: Iterator[pa.RecordBatch], c: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Assign the points of one partition and return one moment row per (cluster, side).
+class MomentSums:
+    """Counts, means and squared deviations of points by (cluster, side), merged batch by batch.
 
-    Input columns are ``x array<double>, side int, exact int``. Batches are
-    merged with the pairwise update for means and squared deviations, which has
-    no cancellation. At most 2K rows leave a partition, whatever its size.
+    The pairwise update for means and squared deviations has no cancellation.
     """
-    count: dict[int, int] = {}
-    exact: dict[int, int] = {}
-    mean: dict[int, np.ndarray] = {}
-    spread: dict[int, float] = {}
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = coordinates(batch.column("x"), c.shape[1])
-        cluster, _ = nearest(x, c)
-        key = cluster * 2 + batch.column("side").to_numpy(zero_copy_only=False)
+
+    COLUMNS = ("cluster", "side", "n", "n_exact", "mean", "spread")
+
+    def __init__(self) -> None:
+        self.count: dict[int, int] = {}
+        self.exact: dict[int, int] = {}
+        self.mean: dict[int, np.ndarray] = {}
+        self.spread: dict[int, float] = {}
+
+    def add(self, x: np.ndarray, cluster: np.ndarray, side: np.ndarray, exact: np.ndarray) -> None:
+        count, mean, spread = self.count, self.mean, self.spread
+        key = cluster * 2 + side
         order = np.argsort(key, kind="stable")
         x = x[order]
         keys, starts, sizes = np.unique(key[order], return_index=True, return_counts=True)
-        exacts = np.add.reduceat(batch.column("exact").to_numpy(zero_copy_only=False)[order], starts)
+        exacts = np.add.reduceat(exact[order].astype(np.int64), starts)
         means = np.add.reduceat(x, starts, axis=0) / sizes[:, None]
         gaps = x - np.repeat(means, sizes, axis=0)
         spreads = np.add.reduceat(np.einsum("nd,nd->n", gaps, gaps), starts)
@@ -121,18 +183,32 @@ def partition_moments(batches: Iterator[pa.RecordBatch], c: np.ndarray) -> Itera
             gap = means[i] - mean.get(k, means[i])
             share = n_new / (n_old + n_new)
             count[k] = n_old + n_new
-            exact[k] = exact.get(k, 0) + int(exacts[i])
+            self.exact[k] = self.exact.get(k, 0) + int(exacts[i])
             mean[k] = mean.get(k, means[i]) + gap * share
             spread[k] = spread.get(k, 0.0) + spreads[i] + n_old * share * float(gap @ gap)
-    keys = sorted(count)
-    yield pa.RecordBatch.from_arrays(
-        [
+
+    def arrays(self) -> list[pa.Array]:
+        keys = sorted(self.count)
+        return [
             pa.array([k // 2 for k in keys], pa.int32()),
             pa.array([k % 2 for k in keys], pa.int32()),
-            pa.array([count[k] for k in keys], pa.int64()),
-            pa.array([exact[k] for k in keys], pa.int64()),
-            pa.array([mean[k].tolist() for k in keys], pa.list_(pa.float64())),
-            pa.array([spread[k] for k in keys], pa.float64()),
-        ],
-        names=["cluster", "side", "n", "n_exact", "mean", "spread"],
-    )
+            pa.array([self.count[k] for k in keys], pa.int64()),
+            pa.array([self.exact[k] for k in keys], pa.int64()),
+            pa.array([self.mean[k].tolist() for k in keys], pa.list_(pa.float64())),
+            pa.array([self.spread[k] for k in keys], pa.float64()),
+        ]
+
+
+def partition_moments(batches: Iterator[pa.RecordBatch], c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Assign the points of one partition and return one moment row per (cluster, side).
+
+    Input columns are ``x array<double>, side int, exact int``. At most 2K rows
+    leave a partition, whatever its size.
+    """
+    sums = MomentSums()
+    for batch in batches:
+        if batch.num_rows:
+            x = coordinates(batch.column("x"), c.shape[1])
+            side, exact = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("side", "exact"))
+            sums.add(x, nearest(x, c)[0], side, exact)
+    yield pa.RecordBatch.from_arrays(sums.arrays(), names=list(sums.COLUMNS))

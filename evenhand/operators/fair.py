@@ -17,7 +17,7 @@ from evenhand.functions.centers import center_matrix, center_table
 from evenhand.functions.distance import distance
 from evenhand.operators.kmeans import initial_centers
 from evenhand.operators.moments import cluster_moments
-from evenhand.operators.rounds import cached, lloyd  # noqa: F401
+from evenhand.operators.rounds import cached, lloyd, moments_of  # noqa: F401
 
 # Fixed values of the search for the balance between the groups.
 FIRST_GAMMA = 0.5
@@ -84,10 +84,10 @@ class GroupMoments:
     spread: np.ndarray
 
     @classmethod
-    def of(cls, points: DataFrame, c: np.ndarray) -> GroupMoments:
+    def of(cls, moments: DataFrame, c: np.ndarray) -> GroupMoments:
         k, d = c.shape
         found = cls(np.zeros((2, k)), np.zeros((2, k)), np.zeros((2, k, d)), np.zeros((2, k)))
-        for row in cluster_moments(points, c).collect():
+        for row in moments.collect():
             at = row["side"], row["cluster"]
             found.n[at], found.n_exact[at] = row["n"], row["n_exact"]
             found.mean[at], found.spread[at] = row["mean"], row["spread"]
@@ -154,9 +154,9 @@ def balance(fixed: np.ndarray, shares: np.ndarray, gaps: np.ndarray, compat: boo
     return offsets
 
 
-def fair_step(points: DataFrame, c: np.ndarray, other: str, compat: bool) -> np.ndarray:
-    """Centres after one fair round."""
-    found = GroupMoments.of(points, c)
+def fair_step(moments: DataFrame, c: np.ndarray, other: str, compat: bool) -> np.ndarray:
+    """Centres after one fair round, from the moments under the centres ``c``."""
+    found = GroupMoments.of(moments, c)
     if other == "error" and (found.n_exact != found.n).any():
         raise ValueError("labels other than A and B; pass other='as_b' to count them with B")
     anchors = found.anchors(compat)
@@ -180,12 +180,14 @@ def fair_lloyd(
     other: str = "error",
     compat: bool = False,
     num_partitions: int | None = None,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """``(cluster, c)`` after exactly ``m`` fair rounds on points ``(x, g)`` of the groups A and B.
 
     Starts from ``init_centers`` or from the k-means start for ``k``. ``other``
     says what to do with third labels: ``error`` or ``as_b``. ``compat`` follows
-    the published rules for zero means and empty clusters to the letter.
+    the published rules for zero means and empty clusters to the letter. ``bounded`` keeps bounds
+    of every point between the rounds (default: for many centres of high dimension).
     """
     if other not in ("error", "as_b"):
         raise ValueError("other must be 'error' or 'as_b'")
@@ -193,6 +195,7 @@ def fair_lloyd(
         raise ValueError("either init_centers or k >= 1 is needed")
     with cached(points, "x", "g", num_partitions=num_partitions) as kept:
         c = center_matrix(initial_centers(kept, k, seed) if init_centers is None else init_centers)
-        for _ in range(m):
-            c = fair_step(kept, c, other, compat)
+        with moments_of(kept, c, True, None, bounded) as moments:
+            for _ in range(m):
+                c = fair_step(moments(c), c, other, compat)
     return center_table(points.sparkSession, c)

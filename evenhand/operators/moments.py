@@ -16,6 +16,9 @@ from evenhand.functions.centers import center_matrix
 from evenhand.operators.assignment import is_unrolled, with_coordinates, with_nearest
 
 
+PARTIAL = "cluster int, side int, n bigint, n_exact bigint, mean array<double>, spread double"
+
+
 def cluster_moments(points: DataFrame, centers, grouped: bool = True) -> DataFrame:
     """``(cluster, side, n, n_exact, mean, spread)`` of the points nearest to each centre.
 
@@ -26,15 +29,20 @@ def cluster_moments(points: DataFrame, centers, grouped: bool = True) -> DataFra
     c = center_matrix(centers)
     if not len(c):
         raise ValueError("at least one centre is needed")
+    prepared = with_sides(points, grouped)
+    if is_unrolled(c):
+        return _unrolled_moments(prepared, c)
+    return _arrow_moments(prepared, c)
+
+
+def with_sides(points: DataFrame, grouped: bool) -> DataFrame:
+    """``(x, side, exact)``: 0 for label A and 1 for others, and whether the label is A or B."""
     if grouped:
         side = F.when(F.col("g") == "A", 0).otherwise(1)
         exact = F.when(F.col("g").isin("A", "B"), 1).otherwise(0)
     else:
         side, exact = F.lit(0), F.lit(1)
-    prepared = points.select("x", side.alias("side"), exact.alias("exact"))
-    if is_unrolled(c):
-        return _unrolled_moments(prepared, c)
-    return _arrow_moments(prepared, c)
+    return points.select("x", side.alias("side"), exact.alias("exact"))
 
 
 def _unrolled_moments(prepared: DataFrame, c) -> DataFrame:
@@ -58,9 +66,11 @@ def _arrow_moments(prepared: DataFrame, c) -> DataFrame:
     def run(batches):
         return kernels.partition_moments(batches, block.value)
 
-    partial = prepared.mapInArrow(
-        run, "cluster int, side int, n bigint, n_exact bigint, mean array<double>, spread double"
-    )
+    return merged_moments(prepared.mapInArrow(run, PARTIAL))
+
+
+def merged_moments(partial: DataFrame) -> DataFrame:
+    """Moments of all points from those of the partitions."""
     weight = F.col("n").cast("double")
     # Spread of the partition means around the common mean, from their weighted variance.
     summary = Summarizer.metrics("mean", "variance").summary(array_to_vector("mean"), weight)

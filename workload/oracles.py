@@ -397,6 +397,8 @@ def fair_lloyd_long_sql(rounds: int) -> str:
 
 
 add("fair_lloyd_emb", fair_lloyd_long_sql(3))
+add("fair_lloyd_emb_bounded", fair_lloyd_long_sql(3))
+add("lloyd_bounded", lloyd_sql(LI, fx.CENTERS_LI, 3))
 
 
 # Items: parsing, hashing, sketches

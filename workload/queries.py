@@ -309,6 +309,17 @@ def fair_lloyd_emb(spark, sf):
     return exploded(found, "c", "cluster")
 
 
+@query("fair_lloyd_emb_bounded")
+def fair_lloyd_emb_bounded(spark, sf):
+    centers = fx.centers_emb(spark, sf)
+    return exploded(fair_lloyd(fx.points_emb(spark, sf), m=3, init_centers=centers, bounded=True), "c", "cluster")
+
+
+@query("lloyd_bounded")
+def lloyd_bounded(spark, sf):
+    return exploded(lloyd(fx.points_li(spark, sf), fx.CENTERS_LI, 3, bounded=True), "c", "cluster")
+
+
 @query("kmeans_standard")
 def kmeans_standard(spark, sf):
     points = fx.points_li(spark, sf)
