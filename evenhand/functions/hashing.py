@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest supported modulus: products of two residues then fit in 64 bits.
+# Largest modulus whose products of two residues fit in 64 bits.
 DEFAULT_PRIME = 2147483647
+# For items of 64 bits: only items that are equal modulo 2^61 - 1 collide in every row.
+WIDE_PRIME = (1 << 61) - 1
 # Hash rows are unrolled into expressions, so their number is checked.
 MAX_ROWS = 256
 
@@ -30,14 +32,32 @@ class HashRow(NamedTuple):
 
 
 def check_prime(prime: int) -> int:
-    if not 2 <= prime <= DEFAULT_PRIME:
-        raise ValueError(f"prime must be between 2 and {DEFAULT_PRIME}")
+    if not 2 <= prime <= DEFAULT_PRIME and prime != WIDE_PRIME:
+        raise ValueError(f"prime must be between 2 and {DEFAULT_PRIME}, or {WIDE_PRIME}")
     return prime
 
 
+def _wide_residue_sql(a: int, b: int, x: str) -> str:
+    """SQL text of ``(a*x + b) mod (2^61 - 1)`` from products of at most 62 bits.
+
+    Both factors are cut into a high part and 31 low bits. Modulo 2^61 - 1, a factor 2^62 is 2, and ``m * 2^31``
+    is the upper 31 bits of ``m`` plus its 30 lower bits moved up.
+    """
+    p, low = WIDE_PRIME, (1 << 31) - 1
+    high_a, low_a = a >> 31, a & low
+    item = f"pmod({x}, {p}L)"
+    high_x, low_x = f"shiftright({item}, 31)", f"({item} & {low}L)"
+    cross = f"(({high_a}L * {low_x} + {low_a}L * {high_x}) % {p}L)"
+    moved = f"(shiftright({cross}, 30) + shiftleft({cross} & {(1 << 30) - 1}L, 31))"
+    upper = f"(({2 * high_a}L * {high_x} + {moved} % {p}L) % {p}L)"
+    return f"(({upper} + ({low_a}L * {low_x}) % {p}L + {b}L) % {p}L)"
+
+
 def residue_sql(a, b, x: str, prime: int) -> str:
     """SQL text of ``(a*x + b) mod prime``. The item is reduced first, so no item overflows or gives a negative value."""
-    return f"pmod({a}L * pmod({x}, {check_prime(prime)}L) + {b}L, {prime}L)"
+    if check_prime(prime) == WIDE_PRIME:
+        return _wide_residue_sql(a, b, x)
+    return f"pmod({a}L * pmod({x}, {prime}L) + {b}L, {prime}L)"
 
 
 def bucket_sql(a, b, c: int, x: str, prime: int) -> str:

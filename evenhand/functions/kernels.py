@@ -199,16 +199,19 @@ class MomentSums:
         ]
 
 
-def partition_moments(batches: Iterator[pa.RecordBatch], c: np.ndarray) -> Iterator[pa.RecordBatch]:
+def partition_moments(
+    batches: Iterator[pa.RecordBatch], d: int, c: np.ndarray | None
+) -> Iterator[pa.RecordBatch]:
     """Assign the points of one partition and return one moment row per (cluster, side).
 
-    Input columns are ``x array<double>, side int, exact int``. At most 2K rows
-    leave a partition, whatever its size.
+    Input columns are ``x array<double>, side int, exact int``, and ``cluster int`` if no centres are given. At
+    most 2K rows leave a partition, whatever its size.
     """
     sums = MomentSums()
     for batch in batches:
         if batch.num_rows:
-            x = coordinates(batch.column("x"), c.shape[1])
+            x = coordinates(batch.column("x"), d)
             side, exact = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("side", "exact"))
-            sums.add(x, nearest(x, c)[0], side, exact)
+            cluster = batch.column("cluster").to_numpy(zero_copy_only=False) if c is None else nearest(x, c)[0]
+            sums.add(x, cluster, side, exact)
     yield pa.RecordBatch.from_arrays(sums.arrays(), names=list(sums.COLUMNS))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evenhand.functions import kernels
 from evenhand.functions.centers import center_matrix
-from evenhand.operators.assignment import is_unrolled, with_coordinates, with_nearest
+from evenhand.operators.assignment import BLOCK_BYTES, assign, is_unrolled, with_coordinates, with_nearest
 
 
 PARTIAL = "cluster int, side int, n bigint, n_exact bigint, mean array<double>, spread double"
@@ -61,11 +61,15 @@ def _unrolled_moments(prepared: DataFrame, c) -> DataFrame:
 
 
 def _arrow_moments(prepared: DataFrame, c) -> DataFrame:
-    block = prepared.sparkSession.sparkContext.broadcast(c)
+    # Large centre sets go out block by block, as they do for assignment.
+    assigned = prepared if c.nbytes <= BLOCK_BYTES else assign(prepared, c)
+    block = prepared.sparkSession.sparkContext.broadcast(c) if assigned is prepared else None
+    d = c.shape[1]
 
     def run(batches):
-        return kernels.partition_moments(batches, block.value)
+        return kernels.partition_moments(batches, d, None if block is None else block.value)
 
+    prepared = assigned
     return merged_moments(prepared.mapInArrow(run, PARTIAL))
 
 

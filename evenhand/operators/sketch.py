@@ -6,7 +6,9 @@ skew of the items. Reading it probes all rows of both sketches in one join.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +74,37 @@ def _build(source: DataFrame, changes: list[tuple[str, str]], w: int) -> DataFra
     return totals.selectExpr(f"cast(slot div {w} as int) as d", f"cast(slot % {w} as int) as col", "v")
 
 
+def distinct_sketch(items: DataFrame, *by: str, lg_k: int = 12) -> DataFrame:
+    """``(<by>, sketch)``: distinct items of every batch as a HyperLogLog sketch of at most ``2**lg_k`` registers."""
+    return items.groupBy(*by).agg(F.hll_sketch_agg("item", lg_k).alias("sketch"))
+
+
+def merged_distinct(*sketches: DataFrame) -> DataFrame:
+    """``(n_distinct)``: estimate for all batches together, in whatever order and grouping they are united.
+
+    Its standard error is about ``1.04 / sqrt(2**lg_k)`` of the count; no rows give 0.
+    """
+    united = reduce(DataFrame.unionByName, [s.select("sketch") for s in sketches])
+    estimate = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return united.agg(F.coalesce(estimate, F.lit(0).cast("bigint")).alias("n_distinct"))
+
+
+def top_k_sketch(items: DataFrame, *by: str, capacity: int = 10_000) -> DataFrame:
+    """``(<by>, sketch)``: frequent items of every batch as a mergeable accumulator of at most ``capacity`` items."""
+    return items.groupBy(*by).agg(F.expr(f"approx_top_k_accumulate(item, {capacity})").alias("sketch"))
+
+
+def merged_top_k(sketches: DataFrame, k: int, capacity: int = 10_000) -> DataFrame:
+    """``(item, freq)`` of the ``k`` most frequent items of all batches; exact while items are fewer than ``capacity``.
+
+    A cross-check of :func:`heavy_hitters` that needs no histogram. Of equally frequent items at the end
+    some are left out.
+    """
+    whole = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {capacity})").alias("sketch"))
+    found = whole.select(F.expr(f"inline(approx_top_k_estimate(sketch, {k}))"))
+    return found.toDF("item", "freq")
+
+
 #: Tables that :func:`frequency_tables` keeps in one, by their number.
 HIST, CMS, CS = 0, 1, 2
 
@@ -139,6 +172,46 @@ def _median_sql(values: str, n: int) -> str:
     return f"(element_at({ordered}, {n // 2}) + element_at({ordered}, {n // 2 + 1})) div 2"
 
 
+class StoredSketch(NamedTuple):
+    """Sketches in a table bucketed by cell, for lookups that move the probes alone."""
+
+    table: DataFrame
+    name: str
+    has_cms: bool
+    has_cs: bool
+
+    def drop(self) -> None:
+        """Remove the table."""
+        self.table.sparkSession.sql(f"drop table if exists {self.name}")
+
+
+def _numbered(hashes, w: int, cms: DataFrame | None, cs: DataFrame | None) -> DataFrame:
+    """Cells ``(slot, v)`` of one or both sketches; Count-Min cells come first, those of the Count sketch after them."""
+    tables = []
+    if cms is not None:
+        tables.append(cms.selectExpr(f"d * {w}L + col as slot", "v"))
+    if cs is not None:
+        tables.append(cs.selectExpr(f"{len(hash_rows(hashes)) * w}L + d * {w}L + col as slot", "v"))
+    if not tables:
+        raise ValueError("at least one sketch is needed")
+    return reduce(DataFrame.unionByName, tables)
+
+
+def store_sketches(
+    hashes, w: int, cms: DataFrame | None = None, cs: DataFrame | None = None, buckets: int = 200
+) -> StoredSketch:
+    """Write sketches that are too large to broadcast, once, by the hash of the cell.
+
+    The table lies in the session's warehouse, which all executors must reach. Every later lookup sends its
+    probes to the buckets; the cells stay where they are.
+    """
+    cells = _numbered(hashes, w, cms, cs)
+    name = f"sketch_{uuid.uuid4().hex}"
+    # One file for each bucket and not for each task and bucket.
+    cells.repartition(buckets, "slot").write.bucketBy(buckets, "slot").saveAsTable(name)
+    return StoredSketch(cells.sparkSession.table(name), name, cms is not None, cs is not None)
+
+
 def sketch_estimates(
     items: DataFrame,
     hashes,
@@ -146,33 +219,34 @@ def sketch_estimates(
     prime: int = DEFAULT_PRIME,
     cms: DataFrame | None = None,
     cs: DataFrame | None = None,
+    stored: StoredSketch | None = None,
 ) -> DataFrame:
     """Estimates ``est_cm`` and/or ``est_cs`` of every item; other columns must depend on the item.
 
     Each item probes D cells per sketch. The probes stay on the item's own
     partition: with a broadcast sketch and items already partitioned by item
-    (as a histogram is), no row moves.
+    (as a histogram is), no row moves. Of ``stored`` sketches, see :func:`store_sketches`, no cell moves.
     """
     rows = hash_rows(hashes)
     cells_per_sketch = len(rows) * w
-    # Count-Min cells come first, those of the Count sketch after them.
-    probes, tables, results = [], [], []
-    if cms is not None:
+    has_cms, has_cs = (stored.has_cms, stored.has_cs) if stored else (cms is not None, cs is not None)
+    probes, results = [], []
+    if has_cms:
         probes += [(_cm_slot(row, d, w, prime), "1") for d, row in enumerate(rows)]
-        tables.append(cms.selectExpr(f"d * {w}L + col as slot", "v"))
         results.append(F.expr(f"min(if(slot < {cells_per_sketch}L, coalesce(v, 0L), null)) as est_cm"))
-    if cs is not None:
+    if has_cs:
         probes += [
             (f"{cells_per_sketch}L + {_cs_slot(row, d, w, prime)}", _cs_sign(row, prime)) for d, row in enumerate(rows)
         ]
-        tables.append(cs.selectExpr(f"{cells_per_sketch}L + d * {w}L + col as slot", "v"))
         signed = f"collect_list(if(slot < {cells_per_sketch}L, null, sign * coalesce(v, 0L)))"
         results.append(F.expr(f"{_median_sql(signed, len(rows))} as est_cs"))
-    if not tables:
-        raise ValueError("at least one sketch is needed")
-    cells = reduce(DataFrame.unionByName, tables)
-    if len(tables) * cells_per_sketch <= BROADCAST_CELLS:
-        cells = F.broadcast(cells)
+    if stored:
+        # Neither a broadcast nor a sort of the cells: the buckets are read as the hash side.
+        cells = stored.table.hint("shuffle_hash")
+    else:
+        cells = _numbered(rows, w, cms, cs)
+        if (has_cms + has_cs) * cells_per_sketch <= BROADCAST_CELLS:
+            cells = F.broadcast(cells)
     others = [name for name in items.columns if name != "item"]
     probed = items.selectExpr("item", *others, _entries(probes, "sign")).join(cells, "slot", "left")
     return probed.groupBy("item", *others).agg(*results)

@@ -80,3 +80,19 @@ def test_null_coordinates_and_no_points(spark):
     with pytest.raises(Exception, match="none of them null"):
         lloyd(bad, [[0.0, 0.0]], 1, bounded=True)
     assert matrix(lloyd(bad.limit(0), [[3.0, 1.0]], 2, bounded=True)).tolist() == [[3.0, 1.0]]
+
+
+def test_moments_of_centre_blocks(points, monkeypatch):
+    from evenhand.operators import assignment, moments
+
+    draw = np.random.default_rng(6)
+    frame = points([(row, "AB"[i % 2]) for i, row in enumerate(draw.standard_normal((200, 20)).tolist())])
+    centers = draw.standard_normal((30, 20))
+    expected = moments.cluster_moments(frame, centers).orderBy("cluster", "side").collect()
+    for module in (assignment, moments):
+        monkeypatch.setattr(module, "BLOCK_BYTES", 8 * 20 * 7)
+    found = moments.cluster_moments(frame, centers).orderBy("cluster", "side").collect()
+    for a, b in zip(found, expected, strict=True):
+        assert tuple(a)[:4] == tuple(b)[:4]
+        np.testing.assert_allclose(a["mean"], b["mean"], rtol=1e-9)
+        assert a["spread"] == pytest.approx(b["spread"])

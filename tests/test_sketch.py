@@ -1,5 +1,7 @@
 """Sketches, heavy hitters and running totals against plain loops."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evenhand.functions.hashing import (
     DEFAULT_PRIME,
+    WIDE_PRIME,
     HashRow,
     draw_rows,
     hash_bucket,
@@ -31,9 +34,15 @@ from evenhand.operators.sketch import (
     cms_estimate,
     cs_build,
     cs_estimate,
+    distinct_sketch,
     item_hist,
     merge_sketches,
+    merged_distinct,
+    merged_top_k,
+    sketch_estimates,
+    store_sketches,
     stream_summary,
+    top_k_sketch,
 )
 from evenhand.plans.frequencies import heavy_hitter_report
 from evenhand.sources.items import parse_items
@@ -250,3 +259,63 @@ def test_prefix_takes_the_crossing_batch_whole(spark):
     assert sorted(r.batch for r in prefix_until_t(batches, 1000).collect()) == [1, 2, 3, 4]
     with pytest.raises(ValueError):
         prefix_until_t(batches, 0)
+
+
+def test_wide_hash_equals_exact_arithmetic(spark):
+    draw = random.Random(8)
+    items = [0, 1, -1, 2**63 - 1, -(2**63), 2**61 - 1, 2**61 - 2, 2147483647, *(draw.randrange(-(2**63), 2**63) for _ in range(200))]
+    coefficients = [(WIDE_PRIME - 1, WIDE_PRIME - 1), (1, 0), (2**31 - 1, 2**31), (2**31, 5)]
+    coefficients += [(draw.randrange(1, WIDE_PRIME), draw.randrange(WIDE_PRIME)) for _ in range(6)]
+    frame = spark.createDataFrame([(x,) for x in items], "item bigint")
+    for a, b in coefficients:
+        found = frame.select("item", hash_bucket(a, b, 1000, "item", WIDE_PRIME).alias("b"), hash_sign(a, b, "item", WIDE_PRIME).alias("s"))
+        for row in found.collect():
+            exact = (a * row.item + b) % WIDE_PRIME
+            assert (row.b, row.s) == (exact % 1000, 1 if exact % 2 == 0 else -1)
+
+
+def test_wide_hash_tells_items_apart_that_the_default_does_not(spark):
+    items = spark.createDataFrame([(5 + i * DEFAULT_PRIME,) for i in range(200)], "item bigint")
+    for prime, cells in ((DEFAULT_PRIME, 1), (WIDE_PRIME, 150)):
+        rows = draw_rows(1, prime, seed=3)
+        assert cms_build(items, rows, 1000, prime).count() >= cells
+    assert cms_build(items, draw_rows(1, DEFAULT_PRIME, 3), 1000).count() == 1
+    with pytest.raises(ValueError):
+        draw_rows(1, WIDE_PRIME - 2, 3)
+
+
+def test_distinct_sketches_merge_in_any_order(spark):
+    items = spark.range(20_000).selectExpr("id % 7 as batch", "id * 7919 % 9000 as item")
+    whole = merged_distinct(distinct_sketch(items)).head()[0]
+    parts = [distinct_sketch(items.where(f"batch = {i}"), "batch") for i in range(7)]
+    assert {merged_distinct(*order).head()[0] for order in (parts, parts[::-1], parts[3:] + parts[:3])} == {whole}
+    assert abs(whole - 9000) < 3 * 1.04 / 64 * 9000
+    assert merged_distinct(distinct_sketch(items.limit(0), "batch")).head()[0] == 0
+
+
+def test_top_k_accumulators_agree_with_the_heavy_hitters(spark):
+    items = spark.range(5000).selectExpr("id % 5 as batch", "cast(sqrt(id) as bigint) as item")
+    found = merged_top_k(top_k_sketch(items, "batch"), 10)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, heavy_hitters(item_hist(items), 10).collect()))
+
+
+def test_stored_sketch_is_looked_up_where_it_lies(spark, monkeypatch):
+    """Same estimates as from plain tables, and only the probes are shuffled."""
+    monkeypatch.setattr(sketch, "BROADCAST_CELLS", 0)
+    draw = random.Random(9)
+    hist = spark.createDataFrame([(i, draw.randrange(1, 50)) for i in range(300)], "item bigint, freq bigint")
+    rows = draw_rows(3, DEFAULT_PRIME, 2)
+    cms, cs = cms_build(hist, rows, 40), cs_build(hist, rows, 40)
+    plain = sketch_estimates(hist, rows, 40, cms=cms, cs=cs)
+    for one, two in ((cms, cs), (cms, None), (None, cs)):
+        stored = store_sketches(rows, 40, cms=one, cs=two, buckets=4)
+        try:
+            found = sketch_estimates(hist, rows, 40, stored=stored)
+            expected = plain.select(found.columns)
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+            plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert plan.count("Exchange hashpartitioning(slot") == 1
+        finally:
+            stored.drop()
+    with pytest.raises(ValueError):
+        sketch_estimates(hist, rows, 40)

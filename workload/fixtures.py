@@ -6,12 +6,18 @@ its check read the same definition.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.functions.hashing import HashRow
 
 # Fixed values of the checks: coefficients, modulus and centres.
+WIDE_HASHES = [
+    HashRow(2305843009213693950, 1152921504606846977, 1729382256910270463, 5, 2147483648, 2147483647),
+    HashRow(4294967297, 2305843009213693949, 1099511627777, 1311768467294899695, 987654321987654321, 1),
+]
 PRIME = 8191
 HASHES = [
     HashRow(2753, 4111, 6151, 523, 2971, 6007),
@@ -35,6 +41,7 @@ ITEMS = {
     "order": ("lineitem", "l_orderkey"),
     "user": ("events", "user_id"),
     "once": ("events", "event_id"),
+    "wide": ("lineitem", "(l_orderkey % 1000 - 500) * 9007199254740993 - l_partkey"),
 }
 
 
@@ -61,8 +68,7 @@ def points_emb(spark: SparkSession, sf: str) -> DataFrame:
 def centers_emb(spark: SparkSession, sf: str) -> DataFrame:
     """Mean vector of every label, numbered in label order."""
     points = points_emb(spark, sf)
-    d = points.select(F.size("x")).head()[0]
-    means = points.groupBy("label").agg(F.expr(f"array({', '.join(f'avg(x[{j}])' for j in range(d))})").alias("c"))
+    means = points.groupBy("label").agg(vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("c"))
     return means.select(F.col("label").alias("cluster"), "c")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from evenhand.functions.hashing import DEFAULT_PRIME, draw_rows
+from evenhand.functions.hashing import DEFAULT_PRIME, WIDE_PRIME, draw_rows
 from evenhand.operators.kmeans import OVERSAMPLING, START_ROUNDS, TOLERANCE
 from workload import fixtures as fx
 from workload import queries as q
@@ -57,7 +57,11 @@ add(
     select reason, count(*) as n, case when reason = '' then round(sum(x1), 3) else 0.0 end as sum_x1
     from s group by reason""",
 )
-add("repartitioned_count", f"select count(*) as n, round(sum(x1), 3) as sum_x1, 7::bigint as n_partitions from ({LI})")
+add(
+    "repartitioned_count",
+    "select g, count(*) as n, round(sum(x0), 2) as sum_x0, round(sum(round(x1 * 1000, 2)), 2) as sum_x1, "
+    f"round(sum(round(x2, 4)), 2) as sum_x2, 7::bigint as n_partitions from ({LI}) group by g",
+)
 add(
     "gen_group_counts",
     f"""with s as (select count(*) as n, count(*) * {q.GEN_PERC_A} // 100 as na from lineitem),
@@ -469,6 +473,29 @@ add(
     )
     + f" from ({fx.sql_items('order')})",
 )
+def wide_residue(a: int | str, b: int | str) -> str:
+    item = f"(((item::hugeint % {WIDE_PRIME}) + {WIDE_PRIME}) % {WIDE_PRIME})"
+    # The product has up to 122 bits; a hugeint has 127.
+    return f"((({a})::hugeint * {item} + {b}) % {WIDE_PRIME})"
+
+
+WIDE_ITEMS = fx.sql_items("wide")
+add(
+    "hash_wide",
+    "select item, "
+    + ", ".join(
+        f"({wide_residue(h.cm_a, h.cm_b)} % {q.W_PART})::int as b{d}, "
+        f"case when {wide_residue(h.sg_a, h.sg_b)} % 2 = 0 then 1 else -1 end as s{d}"
+        for d, h in enumerate(fx.WIDE_HASHES)
+    )
+    + f" from ({WIDE_ITEMS})",
+)
+add(
+    "cs_cells_wide",
+    f"with h as ({hash_values(fx.WIDE_HASHES)}) select d::int as d, ({wide_residue('cs_a', 'cs_b')} % {q.W_PART})::int as col, "
+    f"sum(case when {wide_residue('sg_a', 'sg_b')} % 2 = 0 then 1 else -1 end)::bigint as v "
+    f"from ({WIDE_ITEMS}), h group by 1, 2",
+)
 CM_CELLS = "select d::int as d, col, v from cm"
 CS_CELLS = "select d::int as d, col, v from cs"
 add(
@@ -488,6 +515,12 @@ add("item_hist", SKEW_3 + HIST)
 add("item_hist_merged", MERGED_4 + HIST)
 SUMMARY = "select sum(freq)::bigint as n_items, count(*) as n_distinct from hist"
 add("stream_summary", PART_3 + SUMMARY)
+add(
+    "distinct_merged",
+    "select 'users' as name, count(distinct user_id) as n, true as close from events "
+    "union all select 'orders', count(distinct l_orderkey), true from lineitem",
+)
+add("top_k_merged", SKEW_3 + HIST)
 add("cms_cells", SKEW_3 + CM_CELLS)
 add("cs_cells", SKEW_3 + CS_CELLS)
 add("cms_merge", MERGED_4 + CM_CELLS)
@@ -497,6 +530,11 @@ add("cms_estimate", PART_3 + EST_CM)
 add("cs_estimate", PART_3 + EST_CS)
 add("cs_estimate_even", PART_4 + EST_CS)
 add("cms_estimate_order", ORDER_4 + EST_CM)
+add(
+    "stored_estimates",
+    ORDER_4 + "select item, freq, est_cm.est::bigint as est_cm, est_cs.est::bigint as est_cs "
+    "from hist join est_cm using (item) join est_cs using (item)",
+)
 add("cs_estimate_skew", SKEW_4 + EST_CS)
 
 # Heavy hitters

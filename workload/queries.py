@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evenhand.functions.distance import sq_distance
 from evenhand.functions.formatting import vector_text
-from evenhand.functions.hashing import DEFAULT_PRIME, draw_rows, hash_bucket, hash_sign
+from evenhand.functions.hashing import DEFAULT_PRIME, WIDE_PRIME, draw_rows, hash_bucket, hash_sign
 from evenhand.operators.assignment import assign
 from evenhand.operators.fair import (
     cluster_group_means,
@@ -44,16 +44,22 @@ from evenhand.operators.sketch import (
     cs_build,
     cs_estimate,
     frequency_tables,
+    distinct_sketch,
     item_hist,
     merge_hists,
     merge_sketches,
+    merged_distinct,
+    merged_top_k,
+    sketch_estimates,
+    store_sketches,
     stream_summary,
+    top_k_sketch,
 )
 from evenhand.plans.clustering import compare_fairness, evaluate_clustering
 from evenhand.plans.frequencies import heavy_hitter_report
 from evenhand.sources.items import file_pattern, parse_items, read_items
-from evenhand.sources.points import generate_fair_points, parse_points
-from evenhand.storage import new_path
+from evenhand.sources.points import generate_fair_points, parse_points, read_points, write_points
+from evenhand.storage import materialize, new_path
 from evenhand.streaming import sketches as streams
 from evenhand.streaming.sinks import BatchTable
 from workload import fixtures as fx
@@ -119,10 +125,14 @@ def points_permissive(spark, sf):
 
 @query("repartitioned_count")
 def repartitioned_count(spark, sf):
-    spread = fx.points_li(spark, sf).repartition(7).withColumn("part", F.spark_partition_id())
-    return spread.agg(
+    """Points written as text and read back over seven partitions; all coordinates have at most four decimals."""
+    exact = F.array(F.col("x")[0], F.round(F.col("x")[1] * 1000, 2), F.round(F.col("x")[2], 4))
+    folder = new_path(spark, "points-text")
+    write_points(fx.points_li(spark, sf).select(exact.alias("x"), "g"), folder)
+    spread = read_points(spark, folder, num_partitions=7, dim=3).withColumn("part", F.spark_partition_id())
+    return spread.groupBy("g").agg(
         F.count("*").alias("n"),
-        rounded("sum_x1", 3, F.sum(F.col("x")[1])),
+        *[rounded(f"sum_x{j}", 2, F.sum(F.col("x")[j])) for j in range(3)],
         F.count_distinct("part").alias("n_partitions"),
     )
 
@@ -377,6 +387,25 @@ def hash_signs(spark, sf):
     return fx.items(spark, sf, "order").select("item", *columns)
 
 
+@query("hash_wide")
+def hash_wide(spark, sf):
+    """Buckets and signs modulo 2^61 - 1 of items far beyond 32 bits, negative ones included."""
+    columns = [
+        column
+        for d, h in enumerate(fx.WIDE_HASHES)
+        for column in (
+            hash_bucket(h.cm_a, h.cm_b, W_PART, "item", WIDE_PRIME).alias(f"b{d}"),
+            hash_sign(h.sg_a, h.sg_b, "item", WIDE_PRIME).alias(f"s{d}"),
+        )
+    ]
+    return fx.items(spark, sf, "wide").select("item", *columns)
+
+
+@query("cs_cells_wide")
+def cs_cells_wide(spark, sf):
+    return cs_build(fx.items(spark, sf, "wide"), fx.WIDE_HASHES, W_PART, WIDE_PRIME)
+
+
 @query("hash_family")
 def hash_family_load(spark, sf):
     return cms_build(fx.items(spark, sf, "order"), draw_rows(3, DEFAULT_PRIME, SEED), W_PART)
@@ -402,6 +431,27 @@ def stream_summary_part(spark, sf):
     return stream_summary(_hist(spark, sf, "part"))
 
 
+@query("distinct_merged")
+def distinct_merged(spark, sf):
+    """Distinct users and order keys from the sketches of days and return flags, each within three standard errors."""
+    days = fx.table(spark, sf, "events").select(F.to_date("ts").alias("batch"), F.col("user_id").alias("item"))
+    flags = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("batch"), F.col("l_orderkey").alias("item"))
+    rows = []
+    for name, source in (("users", days), ("orders", flags)):
+        exact = source.agg(F.count_distinct("item").alias("n"))
+        found = merged_distinct(distinct_sketch(source, "batch"))
+        close = F.abs(F.col("n") - found.scalar()) <= F.greatest(F.lit(1.0), 3 * 1.04 / 64 * F.col("n"))
+        rows.append(exact.select(F.lit(name).alias("name"), "n", close.alias("close")))
+    return rows[0].union(rows[1])
+
+
+@query("top_k_merged")
+def top_k_merged(spark, sf):
+    """The items of the skewed stream, all fewer than the capacity, from the accumulators of the return flags."""
+    source = fx.table(spark, sf, "lineitem").selectExpr("l_returnflag as batch", f"{fx.ITEMS['skew'][1]} as item")
+    return merged_top_k(top_k_sketch(source, "batch"), 10_000)
+
+
 @query("cms_cells")
 def cms_cells(spark, sf):
     return cms_build(_hist(spark, sf, "skew"), fx.HASHES[:3], W_SKEW, fx.PRIME)
@@ -432,13 +482,25 @@ def frequency_tables_skew(spark, sf):
 
 def _estimates(builder, estimator, stream: str, rows: int, w: int, prime: int) -> Query:
     def run(spark, sf):
-        hist = _hist(spark, sf, stream)
+        hist = materialize(_hist(spark, sf, stream))
         hashes = fx.HASHES[:rows]
         return estimator(hist, builder(hist, hashes, w, prime), hashes, w, prime)
 
     return run
 
 
+@query("stored_estimates")
+def stored_estimates(spark, sf):
+    """Both estimates of every item from sketches stored by cell, read as they lie."""
+    hist = materialize(_hist(spark, sf, "order"))
+    hashes, w = fx.HASHES, W_ORDER
+    cms, cs = cms_build(hist, hashes, w, DEFAULT_PRIME), cs_build(hist, hashes, w, DEFAULT_PRIME)
+    stored = store_sketches(hashes, w, cms, cs, buckets=16)
+    found = materialize(sketch_estimates(hist, hashes, w, DEFAULT_PRIME, stored=stored))
+    stored.drop()
+    return found
+
+
 QUERIES["cms_estimate"] = _estimates(cms_build, cms_estimate, "part", 3, W_PART, fx.PRIME)
 QUERIES["cs_estimate"] = _estimates(cs_build, cs_estimate, "part", 3, W_PART, fx.PRIME)
 QUERIES["cs_estimate_even"] = _estimates(cs_build, cs_estimate, "part", 4, W_PART, fx.PRIME)
@@ -470,7 +532,7 @@ def heavy_hitters_once(spark, sf):
 
 
 def _both(spark, sf, stream: str, w: int):
-    hist = _hist(spark, sf, stream)
+    hist = materialize(_hist(spark, sf, stream))
     return hist, cms_build(hist, fx.HASHES, w, fx.PRIME), cs_build(hist, fx.HASHES, w, fx.PRIME)
 
 
