@@ -1,6 +1,7 @@
 """License spans, personal data and quality rules against plain Python."""
 
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -170,3 +171,47 @@ def test_quality(spark):
     assert [k for k, r in facts.items() if r.kept] == [0]
     assert facts[0].clean_text == GOOD
     assert facts[6].base_failed is False and facts[7].base_failed is False
+
+
+def _many(n):
+    return " ".join(f"user{i}@mail.example.org, {i} +39 06 12345{i % 100:02d} 10.0.{i % 256}.7 SSN: 123-45-6789" for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1, 20, 63, 64, 65, 1000])
+def test_texts_with_many_hits(spark, n):
+    """Places and context are right in every chunk of a text, and marks replace all of them."""
+    text = "é" * 37 + _many(n)
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    row = personal_data(docs).select("spans", redacted(F.col("text"), F.col("spans")).alias("marked")).head()
+    patterns = {"email": r"user[0-9]+@mail\.example\.org", "ip": r"10\.0\.[0-9]+\.7", "phone": r"\+39 06 [0-9]+", "ssn": r"123-45-6789"}
+    found = {}
+    for span in row.spans:
+        found.setdefault(span.kind, []).append(text[span.start : span.end])
+        assert span.score > 0.5
+    # A phone number takes in the address after it, as its pattern says.
+    assert found["email"] == re.findall(patterns["email"], text) and found["ssn"] == ["123-45-6789"] * n
+    assert len(found["ip"]) == n and row.marked.count("<EMAIL>") == row.marked.count("<SSN>") == n
+    spans = sorted((s.start, s.end, s.kind) for s in row.spans)
+    expected, at = "", 0
+    groups = []
+    for start, end, kind in spans:
+        if groups and start < groups[-1][1]:
+            groups[-1][1] = max(end, groups[-1][1])
+        else:
+            groups.append([start, end, kind])
+    for start, end, kind in groups:
+        expected += text[at:start] + f"<{kind.upper()}>"
+        at = end
+    assert row.marked == expected + text[at:]
+
+
+def test_time_grows_with_the_hits(spark):
+    took = {}
+    for n in (1_000, 8_000):
+        docs = spark.createDataFrame([(1, _many(n))], "doc_id bigint, text string")
+        result = personal_data(docs).select(F.size("spans"), F.length(redacted(F.col("text"), F.col("spans"))))
+        began = time.perf_counter()
+        assert result.head()[0] >= 3 * n
+        took[n] = time.perf_counter() - began
+    assert took[8_000] < 16 * took[1_000] + 5
+    assert took[8_000] < 60
