@@ -33,12 +33,20 @@ CONTAINERS = frozenset(
     "article aside body center details dialog div dl fieldset figure footer form header main menu nav ol section"
     " table ul".split()
 )
+#: Words that name furniture, alone or as part of a class, id or role, see :func:`furniture_name`.
 NAMES = re.compile(
-    r"(?<![a-z])(?:ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|cookies?|consent|gdpr|notices?|alert|newsletter"
+    r"(?:ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|cookies?|consent|gdpr|notices?|alert|newsletter"
     r"|subscribe|comments?|comment-?list|respond|repl(?:y|ies)|disqus|discussion|sidebar|side-?bar|widget|menu|nav"
     r"|navbar|navigation|breadcrumbs?|footer|masthead|header|share|social|related|recommend[a-z]*|popup|modal"
-    r"|overlay|toolbar|login|signup|search|pagination|pager|copyright)(?![a-z])"
+    r"|overlay|toolbar|login|signup|search|pagination|pager|copyright)"
 )
+#: Words before or after a furniture word with which the name speaks of the layout or the article instead.
+STATES = frozenset(
+    "has have had no not with without is are can show hide shows hides enabled disabled open closed layout theme style"
+    " page body single template work works research reading".split()
+)
+#: Words that name the article, whose header is part of it.
+ARTICLE_WORDS = frozenset("article main content post entry story page section".split())
 MAIN_NAMES = re.compile(r"(?<![a-z])(?:article|main|content|post|entry|story)(?:[_-]?(?:body|text|content))?(?![a-z])")
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -50,6 +58,23 @@ TOKEN = re.compile(
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
+def furniture_name(names: str, in_main: bool) -> bool:
+    """Whether a class, id or role among ``names`` says that the container is page furniture.
+
+    Each name counts as a whole: ``sidebar`` and ``right-sidebar`` do, ``has-sidebar`` and ``no-comments`` speak of the page's
+    layout, and ``related-work`` is a section of an article. Of headers, those of an article belong to it.
+    """
+    for name in names.split():
+        words = [word for word in re.split(r"[-_0-9]+", name) if word]
+        if not words or STATES.intersection(words):
+            continue
+        if words[-1] == "header" and "site" not in words and (in_main or ARTICLE_WORDS.intersection(words)):
+            continue
+        if any(map(NAMES.fullmatch, [name, *words])):
+            return True
+    return False
+
+
 class Held(NamedTuple):
     """An open silent element: blocks found before it (None up to the first break), and what was open by then."""
 
@@ -150,7 +175,7 @@ def blocks(page: str) -> list[Block]:
             is_main = name in ("article", "main") or bool(MAIN_NAMES.search(names))
             # The heading part of an article belongs to it, other parts of that kind do not.
             apart = name in FURNITURE and not (name == "header" and main)
-            bad_name = bool(NAMES.search(names)) and name not in ("article", "main", "body")
+            bad_name = name not in ("article", "main", "body") and furniture_name(names, main)
             stack.append((name, main or is_main, furniture or apart, named or bad_name))
         else:
             for depth in range(len(stack) - 1, 0, -1):

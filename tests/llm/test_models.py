@@ -178,6 +178,26 @@ def test_text_after_elements_without_text():
         assert main_text(page, trained())[0] == [REST[3:-4]] * 3
 
 
+PARAGRAPH = "The article says in many words what happened on that day in town and why it did."
+WRAPPERS = ['div class="layout has-sidebar"', 'div class="post no-comments"', 'div id="page" class="with-banner"',
+            'section class="related-work"', 'div class="single search-disabled"', 'main class="content nav-open"']
+
+
+def test_names_that_only_mention_furniture_lose_no_article():
+    for wrapper in WRAPPERS:
+        page = f"<body><{wrapper}><article><h1>A fine headline</h1><p>{PARAGRAPH}</p>{REST}</article></{wrapper.split()[0]}>"
+        assert main_text(page, trained())[0] == ["A fine headline", PARAGRAPH, REST[3:-4]], wrapper
+    page = f"<article><div class='entry-header'><h1>A fine headline</h1></div><p>{PARAGRAPH}</p>{REST}</article>"
+    assert main_text(page, trained())[0] == ["A fine headline", PARAGRAPH, REST[3:-4]]
+
+
+def test_furniture_by_name_stays_out():
+    for name in ("sidebar", "right-sidebar", "ad", "ad1", "ad-slot", "top_nav", "cookie-consent", "post-comments", "site-footer",
+                 "newsletter", "related", "share-bar", "site-header", "comment-list"):
+        page = f"<article><p>{PARAGRAPH}</p>{REST}<div class='{name}'><p>{PARAGRAPH} Not this.</p></div></article>"
+        assert main_text(page, trained())[0] == [PARAGRAPH, REST[3:-4]], name
+
+
 def test_main_text_of_pages(spark):
     for row in QUERIES["op6_main_text"](spark, SF).limit(20).collect():
         assert row.n_chars == len(row.text) > 0
