@@ -7,7 +7,8 @@
 3. The postings of a window's rarest anchor give places where it could start. The list
    is intersected with those of the next rarest anchors, shifted by their offsets.
 4. What is left is compared with the words around it: an exact phrase match.
-5. Proximity matches use the same postings: the rarest words of an item close together.
+5. Proximity matches use the same postings: for every other half window of an item, its rarest words
+   that occur at all, close together in whatever order. Edited copies are found by the windows left alone.
 
 Everything is DataFrame operations. No step collects texts or links on the driver, and
 nothing but tables of a checked number of rows is broadcast.
@@ -25,6 +26,8 @@ from evenhand.llm.common import NON_WORD, ascii_lower, written
 WINDOW_WORDS, ANCHORS = 13, 3
 #: Longest stretch of words, in windows, that a proximity match may take.
 NEAR_WINDOWS = 2
+#: Items cut into at most so many windows are looked up by their next rarest words too, as one changed word may be all it takes.
+FEW_WINDOWS = 3
 #: Tables of the benchmark are broadcast up to so many rows; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -57,6 +60,25 @@ def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
     )
 
 
+def benchmark_stretches(benchmark: DataFrame, size: int) -> DataFrame:
+    """``(item, stretch, words, n_terms, few)``: the windows of every item at each half window, and its last one.
+
+    ``words`` are the distinct ones, ``n_terms`` their number, and ``stretch`` tells windows apart; ``few`` says that
+    the item has at most FEW_WINDOWS of them.
+    """
+    words = benchmark.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
+        split_words(word_text(F.col("text"))).alias("all"),
+    ).filter(F.size("all") > 0)
+    last = F.greatest(F.size("all") - (size - 1), F.lit(1))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, F.lit(size // 2)), F.array(last)))
+    windows = F.explode(F.transform(starts, lambda at: F.slice("all", at, size))).alias("all")
+    cut = words.select("item", (F.size(starts) <= FEW_WINDOWS).alias("few"), windows)
+    cut = cut.select("item", F.array_distinct("all").alias("words"), "few").distinct()
+    number = (2 * F.monotonically_increasing_id()).alias("stretch")
+    return cut.select("item", number, "words", F.size("words").alias("n_terms"), "few")
+
+
 def rarest(words: DataFrame, keys: list[str], counts: DataFrame, most: int) -> DataFrame:
     """The rarest words of each key, as an array of ``(n, offset, term)``; keys with a word in no text are left out."""
     return (
@@ -70,12 +92,34 @@ def rarest(words: DataFrame, keys: list[str], counts: DataFrame, most: int) -> D
     )
 
 
+def rarest_known(stretches: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """``(item, stretch, terms)``: the rarest words that occur in some text, of equally rare ones the smaller.
+
+    A stretch is left out if fewer of its words occur than are asked for, unless it has no more words. A stretch of an
+    item with few of them gives its next rarest words as a second set.
+    """
+    known = stretches.select("item", "stretch", "n_terms", "few", F.explode("words").alias("term"))
+    ranked = (
+        known.join(checked(counts), "term")
+        .groupBy("item", "stretch", "n_terms", "few")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "term")))["term"].alias("all"))
+        .filter(F.size("all") >= F.least(F.col("n_terms"), F.lit(most)))
+    )
+    second = F.when(F.col("few") & (F.size("all") >= 2 * most), F.slice("all", most + 1, most))
+    sets = F.array_compact(F.array(F.slice("all", 1, most), second))
+    return ranked.select("item", "stretch", F.posexplode(sets).alias("more", "terms")).select(
+        "item", (F.col("stretch") + F.col("more")).alias("stretch"), "terms"
+    )
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size: int = WINDOW_WORDS) -> DataFrame:
-    """``(key, n_words, n_hit, items, n_near)`` for every row of ``docs(key, text)``.
+    """``(key, n_words, n_hit, items, near)`` for every row of ``docs(key, text)``.
 
     ``n_hit`` counts the words inside any occurrence of a window of ``benchmark(item_id, text)``,
-    ``items`` are the ids, as sorted strings, of items with occurring windows, and ``n_near``
-    is the number of items whose rarest words occur within NEAR_WINDOWS windows of words.
+    ``items`` are the ids, as sorted strings, of items with occurring windows, and ``near`` has
+    ``(item, start, end)`` of every item, by id, of which some window has its ANCHORS rarest words (of those that occur
+    anywhere) within NEAR_WINDOWS windows of words: its first such place, in words from 0, end exclusive.
+    Copies with some words changed are near wherever a window keeps its rarest words.
 
     A null text has no words; a null key stays null; repeated rows are judged each; a null
     item_id counts as an empty string, items without words are left out, repeated items
@@ -103,17 +147,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", si
         ),
         "anchors",
     )
-    near = written(
-        rarest(
-            windows.select("item", F.explode("words").alias("term")).distinct().withColumn("offset", F.lit(0)),
-            ["item"],
-            counts,
-            ANCHORS,
-        ),
-        "near",
-    )
+    stretches = written(benchmark_stretches(benchmark, size), "stretches")
+    near = written(rarest_known(stretches, counts, ANCHORS), "near")
     rare = anchors.select(F.col("anchors")[0]["term"].alias("term")).distinct().withColumn("first", F.lit(True))
-    other = anchors.select("anchors").union(near.select("anchors")).select(F.explode("anchors.term").alias("term"))
+    terms_of = anchors.select("anchors.term").union(near.select("terms"))
+    other = terms_of.toDF("terms").select(F.explode("terms").alias("term"))
     looked_up = written(other.distinct().join(rare, "term", "left"), "looked-up")
 
     reach = size - 1
@@ -160,15 +198,17 @@ def intersect(postings: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
 
 
 def close_terms(postings: DataFrame, near: DataFrame, reach: int) -> DataFrame:
-    """``(row, item)`` where the rarest words of an item lie within ``reach`` words."""
-    lookup = near.select("item", F.size("anchors").alias("of"), F.posexplode("anchors.term").alias("which", "term"))
+    """``(row, item, start, end)``: the first place where the words of some stretch of an item lie within ``reach`` words."""
+    lookup = near.select("item", "stretch", F.size("terms").alias("of"), F.posexplode("terms").alias("which", "term"))
     places = postings.select("term", "row", "pos").join(checked(written(lookup, "near-terms")), "term")
-    by_place = Window.partitionBy("row", "item").orderBy("pos", "which")
+    by_place = Window.partitionBy("row", "stretch").orderBy("pos", "which")
     last = [F.last(F.when(F.col("which") == k, F.col("pos")), ignorenulls=True).over(by_place) for k in range(ANCHORS)]
     first = reduce(F.least, [F.coalesce(x, F.when(F.col("of") <= k, F.col("pos"))) for k, x in enumerate(last)])
     seen = [(F.col("of") <= k) | x.isNotNull() for k, x in enumerate(last)]
     close = reduce(lambda a, b: a & b, seen) & (F.col("pos") - first < reach)
-    return places.withColumn("close", close).filter("close").select("row", "item").distinct()
+    found = places.withColumns({"close": close, "first": first}).filter("close")
+    place = F.min(F.struct(F.col("first").alias("start"), (F.col("pos") + 1).alias("end"))).alias("place")
+    return found.groupBy("row", "item").agg(place).select("row", "item", "place.*")
 
 
 def report(index: DataFrame, key: str, found: DataFrame, windows: DataFrame, near: DataFrame) -> DataFrame:
@@ -201,7 +241,7 @@ def report(index: DataFrame, key: str, found: DataFrame, windows: DataFrame, nea
         .groupBy("row")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
-    close = near.groupBy("row").agg(F.count("*").alias("n_near"))
+    close = near.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item", "start", "end"))).alias("near"))
     return (
         index.select(key, "n_words", "row")
         .join(hits, "row", "left")
@@ -212,7 +252,7 @@ def report(index: DataFrame, key: str, found: DataFrame, windows: DataFrame, nea
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-            F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
+            F.coalesce("near", F.array().cast("array<struct<item: string, start: int, end: int>>")).alias("near"),
         )
     )
 

@@ -37,17 +37,27 @@ found as (select doc_id, i, n, item from grams join windows using (g)),
 hit as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + n)) as p from found) group by 1),
 per_doc as (select doc_id, list_sort(list(distinct item)) as l from found group by 1),
 counts as (select term, count(*) as n from tokens group by 1),
-terms as (select distinct item, unnest(w) as term from items),
+stretches as (
+    select row_number() over () as stretch, * from (
+        select distinct item, list_sort(list_distinct(w[i : i + {decontam.WINDOW_WORDS - 1}])) as t, few from (
+            select item, w, unnest(s) as i, len(s) <= {decontam.FEW_WINDOWS} as few from (
+                select *, list_distinct(list_concat(range(1, l + 1, {decontam.WINDOW_WORDS // 2}), [l])) as s
+                from (select *, greatest(len(w) - {decontam.WINDOW_WORDS - 1}, 1) as l from items where len(w) > 0))))
+),
 ranked as (
-    select item, term, row_number() over (partition by item order by n, term) as r
-    from (select item, term, coalesce(n, 0) as n, min(coalesce(n, 0)) over (partition by item) as least
-          from terms left join counts using (term)) where least > 0
+    select 2 * stretch + (r - 1) // {decontam.ANCHORS} as stretch, item, term, (r - 1) % {decontam.ANCHORS} + 1 as r from (
+        select stretch, item, len(t) as all_terms, few, term, row_number() over (partition by stretch order by n, term) as r,
+            count(*) over (partition by stretch) as known
+        from (select *, unnest(t) as term from stretches) join counts using (term))
+    where known >= least(all_terms, {decontam.ANCHORS})
+        and (r <= {decontam.ANCHORS} or few and known >= {2 * decontam.ANCHORS} and r <= {2 * decontam.ANCHORS})
 ),
 near as (
-    select doc_id, count(distinct item) as n from (
+    select doc_id, count(distinct item) as n, array_to_string(list_sort(list(distinct item)), ',') as near_items from (
         select a.doc_id, r1.item from tokens a join ranked r1 on a.term = r1.term and r1.r = 1
-        left join ranked r2 on r2.item = r1.item and r2.r = 2 left join ranked r3 on r3.item = r1.item and r3.r = 3
+        left join ranked r2 on r2.stretch = r1.stretch and r2.r = 2 left join ranked r3 on r3.stretch = r1.stretch and r3.r = 3
         join tokens b on b.doc_id = a.doc_id and b.term = coalesce(r2.term, a.term)
+            and abs(b.pos - a.pos) < {decontam.NEAR_WINDOWS * decontam.WINDOW_WORDS}
         join tokens c on c.doc_id = a.doc_id and c.term = coalesce(r3.term, a.term)
         where greatest(a.pos, b.pos, c.pos) - least(a.pos, b.pos, c.pos)
             < {decontam.NEAR_WINDOWS * decontam.WINDOW_WORDS}
@@ -55,7 +65,8 @@ near as (
 )
 select d.doc_id, len(w)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(len(l), 0)::bigint as n_items,
     sha256(coalesce(array_to_string(l, ','), '')) as items_sha256,
-    coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(w) as contaminated, coalesce(k.n, 0)::bigint as n_near
+    coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(w) as contaminated, coalesce(k.n, 0)::bigint as n_near,
+    coalesce(k.near_items, '') as near_items
 from docs d left join hit h using (doc_id) left join per_doc p using (doc_id) left join near k using (doc_id)
 """
 

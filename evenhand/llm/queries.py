@@ -71,7 +71,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
-        "n_near",
+        F.size("near").cast("bigint").alias("n_near"),
+        F.array_join("near.item", ",").alias("near_items"),
     )
 
 

@@ -64,7 +64,29 @@ def test_proximity(spark):
         [(1, "gamma x beta y alpha"), (2, "alpha " + "x " * 40 + "beta gamma"), (3, "the of the the of of")],
         "doc_id bigint, text string",
     )
-    assert {r.doc_id: r.n_near for r in contamination(docs, items).collect()} == {1: 1, 2: 0, 3: 0}
+    found = {r.doc_id: [tuple(x) for x in r.near] for r in contamination(docs, items).collect()}
+    assert found == {1: [("1", 0, 5)], 2: [], 3: []}
+
+
+def test_edited_copies_of_benchmark_items_are_near(spark):
+    """With every 13th word changed no window is whole, but most items are found, and where they stand."""
+    benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = [(r.item_id, lower_words((r.text or "").encode())) for r in benchmark.collect()]
+    edited = [
+        (10**6 + at, "start " + " ".join("changed" if i % 13 == at % 13 else w.decode() for i, w in enumerate(words)))
+        for at, (_, words) in enumerate(items)
+    ]
+    copies = [(2 * 10**6 + at, b" ".join(words).decode()) for at, (_, words) in enumerate(items)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame(edited + copies, docs.schema))
+    rows = {r.doc_id: r for r in contamination(docs, benchmark).collect()}
+    for first, least in ((10**6, 0.9), (2 * 10**6, 1.0)):
+        hits = 0
+        for at, (item, words) in enumerate(items):
+            places = [x for x in rows[first + at].near if x.item == str(item)]
+            hits += bool(places)
+            assert all(0 <= x.start < x.end <= len(words) + 1 for x in places)
+        assert hits >= least * len(items)
 
 
 def test_gradients():
