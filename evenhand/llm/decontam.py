@@ -123,7 +123,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", si
 
     A null text has no words; a null key stays null; repeated rows are judged each; a null
     item_id counts as an empty string, items without words are left out, repeated items
-    count once; an empty table on either side gives no hits; other columns are not read.
+    count once; an empty table on either side gives no hits; other columns are not read. Texts of any
+    length are indexed whole; of equally rare words the smaller one comes first.
     """
     index = written(
         docs.select(key, word_text(F.col("text")).alias("words"))

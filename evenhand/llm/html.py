@@ -320,8 +320,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars, n_blocks, n_kept)`` for every row of ``pages(page_id, url, html)``.
 
     A null or empty page has an empty text; null ids and addresses stay null, repeated rows
-    are extracted each, unclosed and cut-off markup ends with the page, and no other
-    column is read. Nothing is dropped from the blocks of the main text, and no text is cut.
+    are extracted each, an empty table gives no rows, unclosed and cut-off markup ends with the page, and no other
+    column is read. A page is read whole, however long. Nothing is dropped from the blocks of the main text, and no text is cut.
     """
     tree = pages.sparkSession.sparkContext.broadcast(trained())
 

@@ -126,7 +126,9 @@ def license_spans(
     the original text, end exclusive), its first and last word (from 0), the number of edits,
     and ``fit``, one less the share of edited characters. Spans are ordered by place. A null text counts as
     empty, an empty text has no words and no spans, a null doc_id stays null, repeated
-    rows give repeated rows, and other columns are not read.
+    rows give repeated rows, an empty table gives no rows, and other columns are not read. A text is
+    searched whole, however long, in one task. Of overlapping near matches of a notice the one with the fewest
+    edits counts, then the first; matches of different notices may overlap.
     """
 
     def scan(batches: Batches) -> Batches:

@@ -214,7 +214,9 @@ def likelihoods(docs: DataFrame, training: Column, key: str = "doc_id") -> DataF
     ``base_score`` is the log10 probability by smoothed counts and ``score`` that of the
     network, for the whole text. A null or empty text is its end alone; a null key stays
     null; repeated rows are counted and scored each; without training rows the counts
-    are 0 and the network is untrained; other columns are not read unless ``training`` does.
+    are 0 and the network is untrained; other columns are not read unless ``training`` does. An empty table
+    gives no rows. State is carried through a text of any length. Of equally frequent words the one that is smaller
+    as bytes comes first.
     """
     learnt = docs.filter(training).select("text")
     counts = word_counts(learnt)

@@ -426,7 +426,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     words, or a null one, has an empty set and links with nothing. Rows with a null key
     link as others do; a null is never the smallest key unless a component has no other.
     Repeated rows are in the component of their copies, an empty table gives no rows,
-    and other columns are not read.
+    and other columns are not read. Sets are of whole texts; that of a long one must fit in a task. Equally
+    frequent elements are ordered by their hashes, which changes no link.
     """
     sets = described(docs, key)
     some = sets.filter("n > 0")

@@ -80,7 +80,8 @@ def quality(docs: DataFrame) -> DataFrame:
     Returns ``(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_lines, n_bad_lines, kept_chars, clean_text, kept)``. A null text has no words and
     so fails, as an empty one does; a null doc_id and columns of any other name pass
-    through in ``row``; repeated rows are judged each. No shuffle: every rule looks at one text.
+    through in ``row``; repeated rows are judged each; an empty table gives no rows. No shuffle: every rule looks
+    at one text, whole, and a long one must fit in a task with its words and lines.
     """
     whole = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias(TEXT))
     split = whole.select(

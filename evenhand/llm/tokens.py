@@ -163,7 +163,8 @@ def count_tokens(docs: DataFrame, json: str, size: int = TABLE_SIZE) -> DataFram
     """``(doc_id, n_bytes, n_tokens)`` for every row of ``docs(doc_id, text)``, from the whole text.
 
     A null text counts as empty, an empty text has no tokens, a null doc_id stays null,
-    repeated rows give repeated rows, and other columns are not read.
+    repeated rows give repeated rows, an empty table gives no rows, and other columns are not read. A text is
+    split and counted whole, however long. Which of equally frequent pieces are in the table changes no count.
     """
     spark = docs.sparkSession
     frequent = frequent_pieces(docs, size)

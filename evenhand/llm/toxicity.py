@@ -148,7 +148,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     next to it, a null doc_id stays null, repeated rows are scored each; labels other than 0
     and 1 and those without a document are not used; without documents of both labels
     all scores are near 0. No other column than doc_id and text is read, and only
-    the text enters a score.
+    the text enters a score. An empty table gives no rows. Texts are scored whole, however long; those of the
+    bounded labelled sample are held by the driver while it fits. Of rows that share a labelled doc_id
+    one is learnt from.
     """
     model = fit(*labelled_rows(docs, labels))
     sent = docs.sparkSession.sparkContext.broadcast(model)
