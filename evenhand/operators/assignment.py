@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenhand.functions import kernels
