@@ -15,6 +15,12 @@ fixed order of the elements, their prefixes of n - ceil(t n) + k elements share
 Sets that are equal are one class from the start, so copies meet once. Sets that meet are
 compared with a few pivots of their group first; only what these leave unconnected is
 compared pair by pair. All comparisons are of whole sets.
+
+Elements of a prefix that no other prefix holds bound the overlap. Let m of a's prefix be in other
+prefixes, and let t elements of a stand behind its prefix. Where b's prefix ends later in the order than a's, all that
+b shares of a's prefix is in b's prefix: at most m_a + t_a are shared. Else at most m_a are shared within both prefixes, and
+the others stand behind b's: at most m_a + t_b. So an overlap is at most min(m_a, m_b) + max(t_a, t_b), and
+pairs for which that is too little never meet. Sets with much of their own have few possible sizes of partners, often none.
 """
 
 from __future__ import annotations
@@ -31,8 +37,11 @@ N, PERCENT = 4, 85
 TABLE_SIZE, COUNTED_AT_ONCE = 500_000, 4_000_000
 #: Sizes of sets are told apart by so many steps for each doubling when the boundary is chosen.
 SIZE_STEPS = 4
-#: Rounds of comparisons with pivots, and pairs of a group, in all, that are compared without another round.
-ROUNDS, DIRECT_PAIRS = 5, 200_000
+#: Most rounds of comparisons with pivots. Without another round, possible pairs are compared if they are
+#: at most so many for each row that is left, or if less than LEAST_JOINED of the last round's comparisons joined components.
+ROUNDS, DIRECT_PAIRS, LEAST_JOINED = 5, 1, 0.05
+#: Sizes are told apart by so many steps between a set and the largest one that it can link with.
+PARTNER_STEPS = 8
 #: Passes that leave out sets which share too little with those that are left.
 PASSES = 2
 #: Keys of candidate texts and labels of nodes are broadcast up to so many rows; beyond that, joins shuffle.
@@ -238,7 +247,7 @@ def cheapest_boundary(shared: DataFrame) -> int:
 
 
 def meeting_places(shared: DataFrame, boundary: int) -> DataFrame:
-    """``(place, node, n, share)``: where sets meet, by pairs of elements (small) or in inverted lists (large)."""
+    """``(place, node, n, m)``: where sets meet, by pairs of elements (small) or in inverted lists (large)."""
     by_element = F.col("of_pairs")
     pairs = F.flatten(
         F.transform(
@@ -252,10 +261,9 @@ def meeting_places(shared: DataFrame, boundary: int) -> DataFrame:
     n, found = F.col("n"), F.col("found")
     shared = shared.withColumn("of_pairs", F.sort_array(in_prefix(n, found, 2)["element"]))
     lists = F.transform(in_prefix(n, found, 1), lambda x: F.xxhash64(F.lit(1), x["element"]))
-    share = (F.col("m") / n).alias("share")
-    small = shared.filter(F.col("n") <= boundary).select(F.explode(pairs).alias("place"), "node", "n", share)
+    small = shared.filter(F.col("n") <= boundary).select(F.explode(pairs).alias("place"), "node", "n", "m")
     large = shared.filter(F.col("n") >= least_overlap(boundary)).select(
-        F.explode(lists).alias("place"), "node", "n", share
+        F.explode(lists).alias("place"), "node", "n", "m"
     )
     found = small.union(large)
     several = found.groupBy("place").agg(F.count("*").alias("sets")).filter("sets > 1")
@@ -346,78 +354,131 @@ def fits(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def behind(n: Column) -> Column:
+    """Elements of a set of size n that stand behind its prefix."""
+    return F.greatest(F.lit(0), F.floor((PERCENT * n + 99) / 100) - least_shared(n))
+
+
+def may_link(n_a: Column, m_a: Column, n_b: Column, m_b: Column) -> Column:
+    """Whether sets of these sizes, with so many elements in other prefixes, can link."""
+    most = F.least(m_a, m_b) + F.greatest(behind(n_a), behind(n_b))
+    return fits(n_a, n_b) & ((100 + PERCENT) * most >= PERCENT * (n_a + n_b))
+
+
+def size_step(n: Column) -> Column:
+    return F.floor(F.log(n) * (PARTNER_STEPS / float(np.log(100 / PERCENT)))).cast("int")
+
+
+def partners(rest: DataFrame) -> DataFrame:
+    """``rest`` with ``(step, larger)``: the steps of size where a row meets smaller sets, and its own for larger ones.
+
+    A row is left out where no size of a partner is possible, and where its step has only one side or one component.
+    """
+    n, m = F.col("n"), F.col("m")
+    low, own = F.floor((PERCENT * n + 99) / 100), size_step(n)
+    # Rounding moves what stands behind a prefix by less than 2 elements.
+    high = F.least(n, F.floor((100 + PERCENT) * (m + behind(n) + 2) / PERCENT) - n)
+    smaller_ones = F.when(high >= low, F.sequence(size_step(low), size_step(high)))
+    largest = F.floor(100 * n / PERCENT)
+    most = m + (PERCENT / 100 - (100 - PERCENT) / 200) * largest
+    larger_ones = F.when((100 + PERCENT) * most >= PERCENT * (n + largest), F.array(own))
+    none = F.array().cast("array<int>")
+    smaller_ones, larger_ones = F.coalesce(smaller_ones, none), F.coalesce(larger_ones, none)
+    sides = F.concat(
+        F.transform(smaller_ones, lambda x: F.struct(x.alias("step"), F.lit(True).alias("larger"))),
+        F.transform(larger_ones, lambda x: F.struct(x.alias("step"), F.lit(False).alias("larger"))),
+    )
+    both = rest.select("*", F.inline(sides))
+    useful = (
+        both.groupBy("place", "step")
+        .agg(
+            F.count_if("larger").alias("large"),
+            F.count_if(~F.col("larger")).alias("small"),
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+        )
+        .filter("large > 0 and small > 0 and low <> high")
+        .select("place", "step", (F.col("large") * F.col("small")).alias("pairs"))
+    )
+    return written(both.join(useful, ["place", "step"]), "partners")
+
+
 def components(places: DataFrame, sets: DataFrame) -> DataFrame:
     """``(node, label)`` of all sets that meet another one: label is the smallest node of the component.
 
     In each round every place names one pivot, of the largest component there, and its other
-    components' sets are compared with it. Places within one component are done. What stays apart
-    is compared pair by pair, except where the distances from the first pivot rule a link out.
+    components' sets are compared with it. Places within one component are done, and so are sets
+    that can link with no other size there. What stays apart is compared pair by pair, except where
+    the bounds of overlap or the distances from the pivots rule a link out.
     """
     labels = written(sets.select("node", F.col("node").alias("label")), "components")
-    places = places.withColumn("far", F.lit(None).cast("double"))
+    places = places.withColumn("far", F.array().cast("array<double>"))
+    joined = 1.0
     for turn in range(ROUNDS + 1):
         sizes = written(labels.groupBy("label").agg(F.count("*").alias("size")), "sizes")
         members = places.join(checked(labels), "node").join(checked(sizes), "label")
         # At first the set with the least elements of its own, as the origin of copies has; later any by hash.
-        order = F.struct("size", F.when(F.lit(turn == 0), F.col("share")), F.xxhash64("node", F.lit(turn)))
+        share = F.when(F.lit(turn == 0), F.col("m") / F.col("n"))
+        order = F.struct("size", share, F.xxhash64("node", F.lit(turn)))
         open_places = (
             members.groupBy("place")
             .agg(
-                F.count("*").alias("sets"),
                 F.min("label").alias("low"),
                 F.max("label").alias("high"),
-                F.max_by(F.struct("node", "n", "label"), order).alias("pivot"),
+                F.max_by(F.struct("node", "n", "m", "label"), order).alias("pivot"),
             )
             .filter("low <> high")
-            .select("place", "sets", "pivot")
+            .select("place", "pivot")
         )
-        rest = written(members.drop("size").join(open_places, "place"), "open")
         # Places within one component are done for good.
-        places = rest.select("place", "node", "n", "share", "far")
-        apart = rest.groupBy("place", "label", "sets").agg(F.count("*").alias("own"))
-        apart = apart.agg(F.sum(F.col("own") * (F.col("sets") - F.col("own")) / 2).alias("pairs")).collect()[0].pairs
-        if not apart:
-            break
-        direct = turn == ROUNDS or apart <= DIRECT_PAIRS
-        if direct and turn:
-            one, two = (
-                rest.select("place", *[F.col(name).alias(f"{name}_{x}") for name in ("node", "n", "label", "far")])
-                for x in "ab"
-            )
-            # Jaccard distance is a metric: sets that link are about as far from the first pivot of their place.
-            near = F.abs(F.col("far_a") - F.col("far_b")) <= 1 - PERCENT / 100 + 1e-9
-            pairs = (
-                one.join(two, "place")
-                .filter("node_a < node_b and label_a <> label_b")
-                .filter(fits(F.col("n_a"), F.col("n_b")) & F.coalesce(near, F.lit(True)))
-                .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-            )
-        else:
-            pairs = rest.filter(F.col("label") != F.col("pivot.label")).filter(fits(F.col("n"), F.col("pivot.n")))
-            pairs = pairs.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+        rest = written(members.drop("size").join(open_places, "place"), "open")
+        if turn:
+            met = partners(rest)
+            rows = met.select("place", "node").distinct()
+            steps = met.groupBy("place", "step").agg(F.first("pairs").alias("pairs"))
+            apart = steps.agg(F.sum("pairs").alias("pairs")).collect()[0].pairs or 0
+            if not apart:
+                break
+            left = rows.count()
+            if turn == ROUNDS or apart <= DIRECT_PAIRS * left or joined < LEAST_JOINED:
+                found = written(compared(possible_pairs(met), sets), "compared")
+                return joined_to(labels, linked(found))
+            rest = written(rest.join(rows, ["place", "node"], "left_semi"), "open")
+        pivot = F.col("pivot")
+        pairs = rest.filter(F.col("label") != pivot["label"])
+        pairs = pairs.filter(may_link(F.col("n"), F.col("m"), pivot["n"], pivot["m"]))
+        pairs = pairs.select(F.col("node").alias("a"), pivot["node"].alias("b"))
         found = written(compared(pairs.distinct(), sets), "compared")
-        if not turn:
-            far = found.select(
-                F.col("a").alias("node"), F.col("b").alias("pivot_node"), (1 - F.col("both") / F.col("all")).alias("far")
-            )
-            places = written(
-                rest.select("place", "node", "n", "share", F.col("pivot.node").alias("pivot_node"))
-                .join(checked(far), ["node", "pivot_node"], "left")
-                .select(
-                    "place",
-                    "node",
-                    "n",
-                    "share",
-                    F.when(F.col("node") == F.col("pivot_node"), 0.0).otherwise(F.col("far")).alias("far"),
-                ),
-                "places",
-            )
-        labels = joined_to(labels, found.filter(100 * F.col("both") >= PERCENT * F.col("all")).select("a", "b"))
-        if direct and turn:
-            break
+        far = found.select(
+            F.col("a").alias("node"), F.col("b").alias("pivot_node"), (1 - F.col("both") / F.col("all")).alias("new")
+        )
+        new = F.when(F.col("node") == F.col("pivot_node"), 0.0).otherwise(F.col("new"))
+        places = rest.select("place", "node", "n", "m", "far", pivot["node"].alias("pivot_node"))
+        places = places.join(checked(far), ["node", "pivot_node"], "left")
+        places = places.select("place", "node", "n", "m", F.concat("far", F.array(new)).alias("far"))
+        links = linked(found)
+        joined = links.count() / max(1, found.count())
+        labels = joined_to(labels, links)
     return labels
 
 
+def linked(found: DataFrame) -> DataFrame:
+    return found.filter(100 * F.col("both") >= PERCENT * F.col("all")).select("a", "b")
+
+
+def possible_pairs(met: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of a step of a place, of different components, that no bound rules out."""
+    one, two = (
+        met.filter(side).select("place", "step", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "m", "label", "far")])
+        for x, side in (("a", F.col("larger")), ("b", ~F.col("larger")))
+    )
+    # Jaccard distance is a metric: sets that link are about as far from each pivot of their place.
+    near = F.zip_with("far_a", "far_b", lambda x, y: F.coalesce(F.abs(x - y) <= 1 - PERCENT / 100 + 1e-9, F.lit(True)))
+    found = one.join(two, ["place", "step"]).filter("(n_a > n_b or n_a = n_b and node_a < node_b) and label_a <> label_b")
+    found = found.filter(may_link(F.col("n_a"), F.col("m_a"), F.col("n_b"), F.col("m_b")))
+    return found.filter(F.forall(near, lambda x: x)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, n_shingles, component_id)`` for every row of ``docs(key, text)``.
 
