@@ -52,7 +52,7 @@ def finite_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = set(lengths[kept].tolist())
     if len(sizes) > 1:
         raise ValueError(f"vectors have different lengths: {sorted(sizes)[:5]}")
-    return kept, entries[~bad[owner]].reshape(len(kept), -1)
+    return kept, entries[~bad[owner]].reshape(len(kept), *(sizes or {0}))
 
 
 def _scaled(entries: np.ndarray) -> np.ndarray:
