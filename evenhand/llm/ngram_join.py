@@ -12,9 +12,10 @@ fixed order of the elements, their prefixes of n - ceil(t n) + k elements share
   small sets that are large enough to link with one of them.
 * The boundary between small and large has the least cost, in rows, by sums over all sets.
 
-Sets that are equal are one class from the start, so copies meet once. Sets that meet are
-compared with a few pivots of their group first; only what these leave unconnected is
-compared pair by pair. All comparisons are of whole sets.
+Sets that are equal are one class from the start, so copies meet once. Sets that meet in a place are
+described by their differences from a centre that they share, see ``centred``: links that follow from the sizes of
+these join at the centre's nearest set, and sets meet again by elements of their differences. Only the pairs that are
+left are compared. All comparisons are of the whole differences of whole sets.
 
 Elements of a prefix that no other prefix holds bound the overlap. Let m of a's prefix be in other
 prefixes, and let t elements of a stand behind its prefix. Where b's prefix ends later in the order than a's, all that
@@ -29,17 +30,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evenhand.llm.common import Batches, texts, written
 
 N, PERCENT = 4, 85
+#: Sets link if PER_DIFFERENCE times the elements in which they differ is at most PER_SIZE times the sum of their sizes.
+PER_DIFFERENCE, PER_SIZE = 100 + PERCENT, 100 - PERCENT
 #: Elements in the broadcast table of frequent elements, and elements that a task counts at once.
 TABLE_SIZE, COUNTED_AT_ONCE = 500_000, 4_000_000
 #: Sizes of sets are told apart by so many steps for each doubling when the boundary is chosen.
 SIZE_STEPS = 4
-#: Most rounds of comparisons with pivots. Without another round, possible pairs are compared if they are
-#: at most so many for each row that is left, or if less than LEAST_JOINED of the last round's comparisons joined components.
-ROUNDS, DIRECT_PAIRS, LEAST_JOINED = 5, 1, 0.05
+#: Most rounds with centres. Without another round, possible pairs are compared if they are at most so many for each row that is left.
+ROUNDS, DIRECT_PAIRS = 5, 1
 #: Sizes are told apart by so many steps between a set and the largest one that it can link with.
 PARTNER_STEPS = 8
 #: Passes that leave out sets which share too little with those that are left.
@@ -195,29 +198,35 @@ def prefix(tokens: np.ndarray, length: int, table: np.ndarray, counts: np.ndarra
 
 
 def shared_elements(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(node, n, m, found)``: elements of each class's prefix that other classes have in theirs, in order.
+    """``(node, n, m, found)``: elements of each class's prefix that other classes have in theirs.
 
-    A class stays if it has enough of them; the second pass counts only classes that stayed.
+    ``near`` of an element is 2 within the prefix for k = 1, 1 within that for k = 2, else 0. A class stays if it has
+    enough elements; the second pass counts only classes that stayed. Postings are two numbers, node and near in one.
     """
     first = sets.select("row", "n", "prefix").join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    postings = first.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("rank", "element"))
+    ranked = first.select("row", "n", F.posexplode("prefix").alias("rank", "element"))
+    own = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100)
+    near = (F.col("rank") < own + 1).cast("int") + (F.col("rank") < own + 2).cast("int")
+    postings = ranked.select((4 * F.col("row") + near).alias("posting"), "element")
     for turn in range(PASSES):
-        lists = postings.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
+        several = postings.withColumn("df", F.count("*").over(Window.partitionBy("element"))).filter("df > 1")
+        found = several.groupBy(F.shiftright("posting", 2).alias("node")).agg(
+            F.collect_list(F.struct(F.col("posting").bitwiseAND(3).alias("near"), "element")).alias("found")
+        )
         found = written(
-            postings.join(lists.select("element"), "element")
-            .groupBy("node", "n")
-            .agg(F.collect_list(F.struct("rank", "element")).alias("found"))
+            found.join(classes.select("node", "n"), "node")
             .withColumn("m", F.size("found"))
             .filter(F.col("m") >= F.least(least_shared(F.col("n")), F.col("n"))),
             "shared",
         )
-        postings = found.select("node", "n", F.explode("found").alias("x")).select("node", "n", "x.rank", "x.element")
+        postings = found.select("node", F.explode("found").alias("x"))
+        postings = postings.select((4 * F.col("node") + F.col("x.near")).alias("posting"), "x.element")
     return found
 
 
-def in_prefix(n: Column, found: Column, k: int) -> Column:
-    """The elements of the prefix for k."""
-    return F.filter(found, lambda x: x["rank"] < n - F.floor((PERCENT * n + 99) / 100) + k)
+def in_prefix(found: Column, k: int) -> Column:
+    """The elements of the prefix for k, 1 or 2."""
+    return F.filter(found, lambda x: x["near"] >= 3 - k)
 
 
 def cheapest_boundary(shared: DataFrame) -> int:
@@ -226,13 +235,13 @@ def cheapest_boundary(shared: DataFrame) -> int:
     A small set takes a row for each pair of elements. A large one takes a row for each of its lists,
     and another one for the comparison there.
     """
-    n, found = F.col("n"), F.col("found")
-    of_pairs = F.size(in_prefix(n, found, 2)).cast("bigint")
+    found = F.col("found")
+    of_pairs = F.size(in_prefix(found, 2)).cast("bigint")
     costs = (
         shared.groupBy(F.floor(F.log2("n") * SIZE_STEPS).alias("step"))
         .agg(
             F.sum(of_pairs * (of_pairs - 1) / 2).alias("pairs"),
-            F.sum(2 * F.size(in_prefix(n, found, 1))).alias("lists"),
+            F.sum(2 * F.size(in_prefix(found, 1))).alias("lists"),
             F.max("n").alias("largest"),
         )
         .orderBy("step")
@@ -258,9 +267,9 @@ def meeting_places(shared: DataFrame, boundary: int) -> DataFrame:
             ),
         )
     )
-    n, found = F.col("n"), F.col("found")
-    shared = shared.withColumn("of_pairs", F.sort_array(in_prefix(n, found, 2)["element"]))
-    lists = F.transform(in_prefix(n, found, 1), lambda x: F.xxhash64(F.lit(1), x["element"]))
+    found = F.col("found")
+    shared = shared.withColumn("of_pairs", F.sort_array(in_prefix(found, 2)["element"]))
+    lists = F.transform(in_prefix(found, 1), lambda x: F.xxhash64(F.lit(1), x["element"]))
     small = shared.filter(F.col("n") <= boundary).select(F.explode(pairs).alias("place"), "node", "n", "m")
     large = shared.filter(F.col("n") >= least_overlap(boundary)).select(
         F.explode(lists).alias("place"), "node", "n", "m"
@@ -296,19 +305,19 @@ def whole_sets(docs: DataFrame, places: DataFrame, classes: DataFrame) -> DataFr
 
     found = docs.select("text", F.xxhash64("text").alias("text_key")).join(keys, "text_key", "left_semi")
     found = found.select("text").mapInArrow(read, "sig binary, elements array<bigint>")
-    return written(
-        found.join(needed, "sig").groupBy("node").agg(F.first("n").alias("n"), F.first("elements").alias("elements")),
-        "elements",
-    )
+    found = found.groupBy("sig").agg(F.first("elements").alias("elements"))
+    return written(found.join(needed, "sig").select("node", "n", "elements"), "elements")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b, both, all)`` of the pairs ``(a, b)``: the sizes of intersection and union of the whole sets."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("of_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("elements").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), "n_a", "n_b")
-    return found.select("a", "b", "both", (F.col("n_a") + F.col("n_b") - F.col("both")).alias("all"))
+def compared(pairs: DataFrame, apart: DataFrame) -> DataFrame:
+    """Those of the pairs ``(home, a, b)`` that link, by their whole differences from the centre ``home``."""
+    one, two = (
+        apart.select(F.col("centre").alias("home"), F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("f", "shared")])
+        for x in "ab"
+    )
+    both = F.size(F.array_intersect("shared_a", "shared_b"))
+    found = pairs.join(one, ["home", "a"]).join(two, ["home", "b"])
+    return found.filter(F.col("f_a") + F.col("f_b") <= 2 * PER_DIFFERENCE * both).select("a", "b")
 
 
 def checked(table: DataFrame) -> DataFrame:
@@ -403,17 +412,60 @@ def partners(rest: DataFrame) -> DataFrame:
     return written(both.join(useful, ["place", "step"]), "partners")
 
 
+def centred(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(centre, node, n, m, f, g, shared, pivot_link)`` of ``members(centre, node, n, m)``.
+
+    A centre is the set of node ``centre``, with the elements in which most members differ from it put in or taken out. Let
+    d be the number of elements in which a set of size n differs from the centre. Two sets differ from
+    each other in d_a + d_b - 2 v elements, if v elements are in both differences, and link if 185 times that
+    is at most 15 (n_a + n_b), for 85 %. So they link if f_a + f_b <= 370 v, with f = 185 d - 15 n. Elements that
+    are in no other member's difference can't be in v: ``shared`` holds the others, rarest first, and with g = f - 370 |shared|
+    a pair can link only if f_a + g_b <= 0 and g_a + f_b <= 0.
+    """
+    one = sets.select("node", F.col("elements").alias("own"))
+    two = sets.select(F.col("node").alias("centre"), F.col("n").alias("n_centre"), F.col("elements").alias("of_centre"))
+    found = members.join(one, "node").join(two, "centre")
+    found = found.withColumn("diff", F.concat(F.array_except("own", "of_centre"), F.array_except("of_centre", "own")))
+    found = written(found.select("centre", "node", "n", "m", "n_centre", "diff"), "differences")
+    postings = found.select("centre", "node", F.explode("diff").alias("element"))
+    size = found.groupBy("centre").agg(F.count("*").alias("members"))
+    spread = postings.groupBy("centre", "element").agg(F.count("*").alias("df")).filter("df > 1")
+    spread = written(spread.join(size, "centre").withColumn("usual", F.expr("2 * df > members")), "spread")
+    of_node = (
+        postings.join(spread, ["centre", "element"])
+        .groupBy("centre", "node")
+        .agg(
+            F.collect_list(F.when(~F.col("usual"), F.struct("df", "element"))).alias("rare"),
+            F.collect_list(F.when(F.col("usual"), F.col("element"))).alias("moved"),
+        )
+    )
+    of_centre = spread.filter("usual").groupBy("centre")
+    of_centre = of_centre.agg(F.collect_list(F.struct((F.col("members") - F.col("df")).alias("df"), "element")).alias("usual"))
+    found = found.select("centre", "node", "n", "m", "n_centre", F.size("diff").cast("bigint").alias("d"))
+    found = found.join(of_node, ["centre", "node"], "left").join(of_centre, "centre", "left")
+    none = F.array().cast("array<struct<df:bigint,element:bigint>>")
+    rare, usual = F.coalesce("rare", none), F.coalesce("usual", none)
+    moved = F.coalesce("moved", F.array().cast("array<bigint>"))
+    kept = F.filter(usual, lambda x: ~F.array_contains(moved, x["element"]))
+    shared = F.sort_array(F.filter(F.concat(rare, kept), lambda x: x["df"] > 1))["element"]
+    f = PER_DIFFERENCE * (F.col("d") - F.size(moved) + F.size(kept)) - PER_SIZE * F.col("n")
+    link = PER_DIFFERENCE * F.col("d") <= PER_SIZE * (F.col("n") + F.col("n_centre"))
+    found = found.select("centre", "node", "n", "m", f.alias("f"), shared.alias("shared"), link.alias("pivot_link"))
+    return written(found.withColumn("g", F.col("f") - 2 * PER_DIFFERENCE * F.size("shared")), "centred")
+
+
 def components(places: DataFrame, sets: DataFrame) -> DataFrame:
     """``(node, label)`` of all sets that meet another one: label is the smallest node of the component.
 
-    In each round every place names one pivot, of the largest component there, and its other
-    components' sets are compared with it. Places within one component are done, and so are sets
-    that can link with no other size there. What stays apart is compared pair by pair, except where
-    the bounds of overlap or the distances from the pivots rule a link out.
+    In each round every place names one pivot, of the largest component there, and the sets of all places with one pivot
+    are described by their differences from its centre. Sets that link with others whatever their differences
+    have in common link with the set of the least f. All other pairs that link have an element of their differences in
+    common, by which they meet in the next round, unless their components have met. Places within one component
+    are done. Few pairs are compared as they are.
     """
     labels = written(sets.select("node", F.col("node").alias("label")), "components")
-    places = places.withColumn("far", F.array().cast("array<double>"))
-    joined = 1.0
+    unknown = F.lit(None).cast("bigint")
+    places = places.select("*", *[unknown.alias(name) for name in ("f", "g", "home")])
     for turn in range(ROUNDS + 1):
         sizes = written(labels.groupBy("label").agg(F.count("*").alias("size")), "sizes")
         members = places.join(checked(labels), "node").join(checked(sizes), "label")
@@ -425,13 +477,17 @@ def components(places: DataFrame, sets: DataFrame) -> DataFrame:
             .agg(
                 F.min("label").alias("low"),
                 F.max("label").alias("high"),
-                F.max_by(F.struct("node", "n", "m", "label"), order).alias("pivot"),
+                F.min("f").alias("least_f"),
+                F.min("g").alias("least_g"),
+                F.max_by("node", order).alias("centre"),
             )
             .filter("low <> high")
-            .select("place", "pivot")
+            .drop("low", "high")
         )
         # Places within one component are done for good.
-        rest = written(members.drop("size").join(open_places, "place"), "open")
+        rest = members.drop("size").join(open_places, "place")
+        rest = rest.filter(F.coalesce(F.expr("f + least_g <= 0 and g + least_f <= 0"), F.lit(True)))
+        rest = written(rest.drop("least_f", "least_g"), "open")
         if turn:
             met = partners(rest)
             rows = met.select("place", "node").distinct()
@@ -440,43 +496,37 @@ def components(places: DataFrame, sets: DataFrame) -> DataFrame:
             if not apart:
                 break
             left = rows.count()
-            if turn == ROUNDS or apart <= DIRECT_PAIRS * left or joined < LEAST_JOINED:
-                found = written(compared(possible_pairs(met), sets), "compared")
-                return joined_to(labels, linked(found))
-            rest = written(rest.join(rows, ["place", "node"], "left_semi"), "open")
-        pivot = F.col("pivot")
-        pairs = rest.filter(F.col("label") != pivot["label"])
-        pairs = pairs.filter(may_link(F.col("n"), F.col("m"), pivot["n"], pivot["m"]))
-        pairs = pairs.select(F.col("node").alias("a"), pivot["node"].alias("b"))
-        found = written(compared(pairs.distinct(), sets), "compared")
-        far = found.select(
-            F.col("a").alias("node"), F.col("b").alias("pivot_node"), (1 - F.col("both") / F.col("all")).alias("new")
+            if turn == ROUNDS or apart <= DIRECT_PAIRS * left:
+                return joined_to(labels, written(compared(possible_pairs(met), differences), "compared"))
+            rest = rest.join(rows, ["place", "node"], "left_semi")
+        differences = centred(rest.select("centre", "node", "n", "m").distinct(), sets)
+        best = differences.groupBy("centre").agg(
+            F.min("f").alias("least_f"), F.min("g").alias("least_g"), F.min_by("node", "f").alias("nearest")
         )
-        new = F.when(F.col("node") == F.col("pivot_node"), 0.0).otherwise(F.col("new"))
-        places = rest.select("place", "node", "n", "m", "far", pivot["node"].alias("pivot_node"))
-        places = places.join(checked(far), ["node", "pivot_node"], "left")
-        places = places.select("place", "node", "n", "m", F.concat("far", F.array(new)).alias("far"))
-        links = linked(found)
-        joined = links.count() / max(1, found.count())
-        labels = joined_to(labels, links)
+        found = differences.join(best, "centre")
+        stars = found.filter("f + least_f <= 0 and node <> nearest").select(F.col("node").alias("a"), F.col("nearest").alias("b"))
+        pivots = found.filter("pivot_link and node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+        labels = joined_to(labels, stars.union(pivots))
+        # Pairs that are left have at least so many elements of their differences in common.
+        least = F.greatest(F.lit(1), F.ceil((F.col("f") + F.col("least_f")) / (2 * PER_DIFFERENCE)))
+        length = F.greatest(F.lit(0), F.size("shared") - least + 1).cast("int")
+        found = found.filter("f + least_g <= 0 and g + least_f <= 0")
+        found = found.select("centre", "node", "n", "m", "f", "g", F.explode(F.slice("shared", F.lit(1), length)).alias("element"))
+        place, home = F.xxhash64("centre", "element").alias("place"), F.col("centre").alias("home")
+        places = written(found.select(place, "node", "n", "m", "f", "g", home), "places")
     return labels
 
 
-def linked(found: DataFrame) -> DataFrame:
-    return found.filter(100 * F.col("both") >= PERCENT * F.col("all")).select("a", "b")
-
-
 def possible_pairs(met: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of a step of a place, of different components, that no bound rules out."""
+    """Pairs ``(home, a, b)`` of a step of a place, of different components, that no bound rules out."""
     one, two = (
-        met.filter(side).select("place", "step", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "m", "label", "far")])
+        met.filter(side).select("place", "step", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "m", "label", "f", "g", "home")])
         for x, side in (("a", F.col("larger")), ("b", ~F.col("larger")))
     )
-    # Jaccard distance is a metric: sets that link are about as far from each pivot of their place.
-    near = F.zip_with("far_a", "far_b", lambda x, y: F.coalesce(F.abs(x - y) <= 1 - PERCENT / 100 + 1e-9, F.lit(True)))
     found = one.join(two, ["place", "step"]).filter("(n_a > n_b or n_a = n_b and node_a < node_b) and label_a <> label_b")
+    found = found.filter("home_a = home_b and f_a + g_b <= 0 and g_a + f_b <= 0")
     found = found.filter(may_link(F.col("n_a"), F.col("m_a"), F.col("n_b"), F.col("m_b")))
-    return found.filter(F.forall(near, lambda x: x)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return found.select(F.col("home_a").alias("home"), F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
